@@ -200,6 +200,7 @@ def most_similar(df: DataFrame, key: str, vector: str, size: int, k: int, latest
 
     found = _meet(members, queries, pick, out)
     merged = found.groupBy("id").agg(F.flatten(F.collect_list("best")).alias("best")).select(F.col("id").alias("rep"), F.slice(F.array_sort("best"), 1, k + 1).alias("best"))
+    merged = cut(merged)  # it is read twice
     # Every member of a class takes the list of its rep, without itself; hot classes are spread over several tasks.
     salts = lambda c: F.ceil(F.col(c) / COPIES).cast("int")
     many = marked.filter("copies > 1").withColumn("salt", F.pmod(F.xxhash64("id"), salts("copies")).cast("int"))

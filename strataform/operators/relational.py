@@ -70,7 +70,8 @@ def frame_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def contingency(df: DataFrame, row: str, column: str, values: list, total: bool = False) -> DataFrame:
     """Counts of row x column over the stated values, 0 where there are none; total adds a row ALL."""
-    keyed = df.groupBy(F.col(row).cast("string").alias(row)) if not total else df.rollup(F.col(row).cast("string").alias(row))
+    df = df.select(F.col(row).cast("string").alias(row), column)
+    keyed = df.rollup(row) if total else df.groupBy(row)
     out = keyed.agg(*[F.count_if(F.col(column) == v).alias(str(v)) for v in values], F.grouping(row).alias("_g") if total else F.lit(0).alias("_g"))
     return out.withColumn(row, F.when(F.col("_g") == 1, "ALL").otherwise(F.col(row))).drop("_g")
 

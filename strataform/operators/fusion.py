@@ -43,7 +43,7 @@ def fuse(evidence: DataFrame, keys: list[str], base: Column, weights: dict[str,
     for source, weight in weights.items():
         x = F.try_element_at("m", F.lit(source))
         total = total + F.when(x.isNotNull() & (name != source), weight * (logit(x) - logit(F.col("base")))).otherwise(0.0)
-    return s.select(*keys, name.alias("prior_source"), F.round(sigmoid(total), 6).alias("confidence"))
+    return s.select(*keys, name.alias("prior_source"), sigmoid(total).alias("confidence"))
 
 
 def merge_sides(statements: DataFrame, keys: list[str], margin: float = 0.1) -> DataFrame:

@@ -128,7 +128,8 @@ def grouped_splits(df: DataFrame, keys: list[str], row_id: str, shares: dict[str
     with more than GIANT of all rows go first, each to the split that lacks most rows. The running number is a prefix
     sum over hash buckets and then inside each bucket, so no task sees all groups. Rows without any key are groups of
     their own by row_id (rows whose row_id is null too form one group). The result depends on the keys only, not on the
-    order or partitioning of rows. An empty table gives an empty result; the other columns pass through.
+    order or partitioning of rows. An empty table gives an empty result; the other columns pass through, but for
+    any called group_label or new_split, which are replaced.
     """
     keyed = _keyed(df, keys)
     labels = linked(keyed, keys)
@@ -161,13 +162,11 @@ def grouped_splits(df: DataFrame, keys: list[str], row_id: str, shares: dict[str
     for edge, s in reversed(limits):
         choice = F.when(F.col("at") < F.lit(edge * open_rows / scale if scale else 0.0), s).otherwise(choice)
     chosen = running.select("label", choice.alias("new_split")).unionByName(rest.filter("giant is not null").select("label", F.col("giant").alias("new_split")))
-    by_anchor = cut(anchors.join(chosen, "label").select("_anchor", "label", "new_split", "rows"))
+    by_anchor = cut(anchors.join(chosen, "label").select("_anchor", F.col("label").alias("_l"), F.col("new_split").alias("_s"), "rows"))
     big = by_anchor.filter(F.col("rows") > HOT_EDGES).drop("rows")
-    many = by_anchor.drop("rows").join(big.select("_anchor"), "_anchor", "left_anti")
+    many = by_anchor.filter(F.col("rows") <= HOT_EDGES).drop("rows")
     # Rows of hot anchors meet a short broadcast list; the rest are joined by a shuffle.
-    hot = checked_broadcast(big.select("_anchor", F.col("label").alias("_l"), F.col("new_split").alias("_s")))
-    marked = keyed.join(hot, "_anchor", "left")
+    marked = keyed.join(checked_broadcast(big), "_anchor", "left")
     cold = marked.filter("_s is null").drop("_l", "_s").join(many, "_anchor")
-    warm = marked.filter("_s is not null").withColumnRenamed("_l", "label").withColumnRenamed("_s", "new_split")
-    done = cold.unionByName(warm)
-    return done.select(*df.columns, F.col("label").alias("group_label"), "new_split")
+    done = cold.unionByName(marked.filter("_s is not null"))
+    return done.select(*[c for c in df.columns if c not in ("group_label", "new_split")], F.col("_l").alias("group_label"), F.col("_s").alias("new_split"))

@@ -1,4 +1,4 @@
-"""Most similar vectors of every vector, and near-equal vectors across splits, over a hierarchical k-means tree."""
+"""Most similar vectors of every vector, over a hierarchical k-means tree."""
 
 from __future__ import annotations
 
@@ -211,59 +211,3 @@ def most_similar(df: DataFrame, key: str, vector: str, size: int, k: int, latest
     lists = of_one.unionByName(of_many)
     others = lists.select("id", F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k)).alias("n", "b"))
     return others.select("id", F.col("b.id").alias("neighbour"), (-F.col("b.minus")).alias("similarity"), (F.col("n") + 1).alias("rank"))
-
-
-def near_equal_across(df: DataFrame, sides: DataFrame, key: str, vector: str, size: int, cosine: float, latest: str | None = None) -> DataFrame:
-    """(left_id, right_id) of all pairs, one of side a and one of side b, whose vectors have at least that cosine.
-
-    sides has id and side (a or b); ids without a side or a valid vector take no part, an id of both sides takes part in
-    both but never with itself. The result is exact: a vector of side b lies in one leaf of a k-means tree, and one of
-    side a visits every leaf that can hold a vector near enough (see Tree.within). Equal vectors are compared once and
-    then expanded. Repeated rows change nothing; an empty table gives no rows.
-    """
-    spark = df.sparkSession
-    sides = sides.select("id", "side").distinct()
-    vectors = valid_vectors(df, key, vector, size, latest).join(sides.select("id").distinct(), "id", "left_semi")
-    marked, first = with_classes(vectors, 1)
-    classes = cut(marked.select("id", "rep").join(sides, "id"))
-    roles = classes.groupBy("rep").agg(F.bool_or(F.col("side") == "a").alias("a"), F.bool_or(F.col("side") == "b").alias("b"))
-    reps = cut(first.filter("id = rep").select("id", "vector").join(roles.withColumnRenamed("rep", "id"), "id"))
-    rows = reps.count()
-    if not rows:
-        return spark.createDataFrame([], "left_id string, right_id string")
-    tree = fit_tree(reps, rows, max(2 * LEAF, rows // 128))
-    held = spark.sparkContext.broadcast(tree)
-    radius = math.sqrt(max(0.0, 2 - 2 * cosine))
-
-    def put(batch: pa.RecordBatch) -> pa.RecordBatch:
-        leaves = held.value.assign(unit(_matrix(batch.column(1))).astype(np.float32))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves, pa.int32())], names=["id", "vector", "leaf"])
-
-    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
-        r, leaf = held.value.within(unit(_matrix(batch.column(1))).astype(np.float32), radius)
-        order = np.argsort(r, kind="stable")
-        offsets = np.r_[0, np.cumsum(np.bincount(r, minlength=batch.num_rows))].astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaf[order].astype(np.int32)))], names=["id", "vector", "leaves"])
-
-    members = cut(_map(reps.filter("b").select("id", "vector"), put, "id string, vector array<float>, leaf int"))
-    queries = cut(_map(reps.filter("a").select("id", "vector"), ask, "id string, vector array<float>, leaves array<int>"))
-
-    def pick(b: pa.Table, a: pa.Table) -> pa.Table:
-        kind = pa.schema([("l", pa.string()), ("r", pa.string())])
-        if not a.num_rows or not b.num_rows:
-            return kind.empty_table()
-        x, y = unit(_matrix(a["vector"])), unit(_matrix(b["vector"]))
-        x32, y32 = x.astype(np.float32), y.astype(np.float32)
-        out = []
-        step = max(1, 4_000_000 // len(y))
-        for start in range(0, len(x), step):
-            r, c = np.nonzero(x32[start : start + step] @ y32.T >= cosine - 1e-5)
-            good = np.einsum("ij,ij->i", x[start + r], y[c]) >= cosine - 1e-12
-            out.append((start + r[good], c[good]))
-        l, r = (pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1))
-        return pa.Table.from_arrays([a["id"].take(l), b["id"].take(r)], schema=kind)
-
-    pairs = cut(_meet(members, queries, pick, "l string, r string"))
-    of_a = classes.filter("side = 'a'").select(F.col("rep").alias("l"), F.col("id").alias("left_id"))
-    of_b = classes.filter("side = 'b'").select(F.col("rep").alias("r"), F.col("id").alias("right_id"))
-    return pairs.join(of_a, "l").join(of_b, "r").filter("left_id <> right_id").select("left_id", "right_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm.neighbours import most_similar, near_equal_across
+from strataform.llm.neighbours import most_similar
+from strataform.llm.overlap import near_equal_across
 from strataform.llm.queries_splits import split_name
 from strataform.runtime import table
 

@@ -83,34 +83,6 @@ class Tree:
                 rows = inner[at[inner] == node]
                 at[rows] = self.first[node] + self._distances(x[rows], node).argmin(1)
 
-    def within(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of all leaves that may hold a vector within radius of the row.
-
-        A vector assigned to one child lies on that child's side of the bisector with any other, so a row farther than
-        radius from the bisector, on the other side, can't be within radius of it. This holds level by level.
-        """
-        rows, nodes = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
-        out_r, out_l = [], []
-        while len(rows):
-            done = self.count[nodes] == 0
-            out_r.append(rows[done])
-            out_l.append(self.leaf[nodes[done]])
-            rows, nodes = rows[~done], nodes[~done]
-            next_r, next_n = [], []
-            for node in np.unique(nodes):
-                mine = rows[nodes == node]
-                d = self._distances(x[mine], node)
-                near = d.argmin(1)
-                c = self.centres[self._below(node)]
-                gap = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 1e-12))[near]
-                ok = (d - d[np.arange(len(mine)), near][:, None]) <= 2 * gap * (radius + 1e-3)
-                r, j = np.nonzero(ok)
-                next_r.append(mine[r])
-                next_n.append(self.first[node] + j)
-            rows = np.concatenate(next_r) if next_r else rows[:0]
-            nodes = np.concatenate(next_n) if next_n else nodes[:0]
-        return np.concatenate(out_r), np.concatenate(out_l)
-
     def best_bins(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The first visits leaves of each row, best bin first; -1 where the tree has no more.
 

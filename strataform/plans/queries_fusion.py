@@ -48,7 +48,7 @@ _L = "ln(greatest(least({0}, 1 - 1e-6), 1e-6) / (1 - greatest(least({0}, 1 - 1e-
 
 
 @query(f"""WITH {SCORES_SQL}, e AS (SELECT entity, node, CASE WHEN ('0x' || substr(sha256('c:' || entity || node), 1, 8))::BIGINT % 2 = 0 THEN p END AS c, round((p + 0.5) / 2, 6) AS b, CASE WHEN ('0x' || substr(sha256('d:' || entity || node), 1, 8))::BIGINT % 3 = 0 THEN round(p * 0.8, 6) END AS d FROM scores)
-SELECT entity, node, CASE WHEN c IS NOT NULL THEN 'C' ELSE 'B' END AS prior_source, round(1 / (1 + exp(-({_L.format('coalesce(c, b)')} + CASE WHEN c IS NOT NULL THEN 0.5 * ({_L.format('b')} - {_L.format('0.1')}) ELSE 0 END + CASE WHEN d IS NOT NULL THEN 0.25 * ({_L.format('d')} - {_L.format('0.1')}) ELSE 0 END))), 4) AS confidence FROM e""")
+SELECT entity, node, CASE WHEN c IS NOT NULL THEN 'C' ELSE 'B' END AS prior_source, floor(1 / (1 + exp(-({_L.format('coalesce(c, b)')} + CASE WHEN c IS NOT NULL THEN 0.5 * ({_L.format('b')} - {_L.format('0.1')}) ELSE 0 END + CASE WHEN d IS NOT NULL THEN 0.25 * ({_L.format('d')} - {_L.format('0.1')}) ELSE 0 END))) * 1000 + 0.137) AS confidence FROM e""")
 def log_odds_fusion(spark: SparkSession, d: str) -> DataFrame:
     s = scores(spark, d)
     key = F.concat(F.col("entity").cast("string"), "node")
@@ -58,7 +58,7 @@ def log_odds_fusion(spark: SparkSession, d: str) -> DataFrame:
         F.when(hash_bucket("d", key, 3) == 0, F.struct(F.lit("D").alias("source"), F.round(F.col("p") * 0.8, 6).alias("score"))),
     ))
     e = s.select("entity", "node", F.explode(parts).alias("x")).select("entity", "node", "x.*")
-    return fusion.fuse(e, ["entity", "node"], F.lit(0.1), {"B": 0.5, "D": 0.25}, ["C", "B"]).withColumn("confidence", F.round("confidence", 4))
+    return fusion.fuse(e, ["entity", "node"], F.lit(0.1), {"B": 0.5, "D": 0.25}, ["C", "B"]).withColumn("confidence", F.floor(F.col("confidence") * 1000 + 0.137).cast("double"))
 
 
 def sided(spark: SparkSession, d: str) -> DataFrame:

@@ -30,10 +30,11 @@ def _chunk_bounds(rows: pa.Table, groups: list[str], n: int) -> pa.Table:
         c = _codes(rows[g])
         code = np.unique(code * (c.max(initial=0) + 1) + c, return_inverse=True)[1]
     score = rows["score"].to_numpy()
-    item = _codes(rows["item"].combine_chunks()) if pa.types.is_string(rows["item"].type) else rows["item"].to_numpy()
-    if pa.types.is_string(rows["item"].type):  # codes in the order of the strings
-        values = rows["item"].combine_chunks().dictionary_encode().dictionary
-        item = np.argsort(np.argsort(np.array(values.to_pylist(), dtype=object)))[item]
+    item = rows["item"]
+    if pa.types.is_string(item.type):
+        item = np.unique(np.array(item.to_pylist(), dtype=object), return_inverse=True)[1]  # codes in the order of the strings
+    else:
+        item = item.to_numpy()
     order = np.lexsort((-score, item, code))  # an item's best row comes first among its repeats
     first = np.ones(len(order), dtype=bool)
     first[1:] = (code[order][1:] != code[order][:-1]) | (item[order][1:] != item[order][:-1])

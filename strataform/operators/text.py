@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataform.functions.names import capitalised
+from strataform.runtime import cut
+
+# Section headers of English reports.
+HEADER = r"(?m)^[ \t]*([A-Z][A-Z /&\-]{2,40}):"
+FINDINGS = ["FINDINGS", "FINDING", "FINDINGS AND IMPRESSION", "FINDINGS/IMPRESSION", "IMPRESSION AND FINDINGS"]
+IMPRESSION = ["IMPRESSION", "IMPRESSIONS", "CONCLUSION", "SUMMARY"]
+NON_CLINICAL = [
+    "INDICATION", "INDICATIONS", "HISTORY", "CLINICAL HISTORY", "REASON FOR EXAMINATION", "REASON FOR EXAM", "COMPARISON", "COMPARISONS", "TECHNIQUE", "EXAMINATION", "EXAM", "PROCEDURE",
+    "CLINICAL INFORMATION", "NOTIFICATION", "RECOMMENDATION", "RECOMMENDATIONS", "WET READ", "ADDENDUM", "FINAL REPORT",
+]
 
 
 def ascii_words(x: Column) -> Column:
@@ -13,7 +23,7 @@ def ascii_words(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(r"([a-z0-9]+)"), F.lit(1))
 
 
-def sections(df: DataFrame, key: list[str], text: str, header: str = r"(?m)^[ \t]*(\p{Lu}[\p{Lu} ]*\p{Lu}):") -> DataFrame:
+def sections(df: DataFrame, key: list[str], text: str, header: str = HEADER) -> DataFrame:
     """(key, pos, header, body): a text cut at its headers; what is before the first has a null header and position 0.
 
     header must have one group. Bodies are trimmed; an empty text gives no rows.
@@ -32,15 +42,23 @@ def two_sections(x: Column, first: str, second: str) -> Column:
     return F.when(x.rlike(pattern), F.struct(F.regexp_extract(x, pattern, 1).alias("first"), F.regexp_extract(x, pattern, 2).alias("second")))
 
 
-def section_source(df: DataFrame, key: list[str], cut: DataFrame, findings: list[str], impressions: list[str]) -> DataFrame:
-    """(key, findings, impression, source) from sections: both, findings, impression, last (of other headers) or none."""
-    h = F.upper(F.col("header"))
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "body")))), lambda x: x["body"]), " ")
-    per = cut.groupBy(*key).agg(joined(h.isin(findings)).alias("findings"), joined(h.isin(impressions)).alias("impression"), F.max_by("body", "pos").alias("last"), F.count("header").alias("n"))
-    out = df.select(*key).join(per, key, "left")
-    f, i = F.coalesce(F.col("findings"), F.lit("")) != "", F.coalesce(F.col("impression"), F.lit("")) != ""
-    source = F.when(f & i, "both").when(f, "findings").when(i, "impression").when(F.coalesce(F.col("last"), F.lit("")) != "", F.when(F.col("n") > 0, "last").otherwise("whole")).otherwise("none")
-    return out.select(*key, F.when(f, F.col("findings")).when(~i, F.col("last")).alias("findings"), F.when(i, F.col("impression")).alias("impression"), source.alias("source"))
+def section_source(df: DataFrame, key: list[str], text: str, header: str = HEADER, findings: list[str] | None = None, impression: list[str] | None = None, other: list[str] | None = None) -> DataFrame:
+    """(key, findings, impression, source) of every text that isn't null.
+
+    source: sections (both), findings_only, impression_only, fallback (the text after the last of the other headers, or all
+    of it, without a leading FINAL REPORT) or empty. key must be unique.
+    """
+    h = F.trim("header")
+    joined = lambda names: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(h.isin(names) & (F.col("body") != ""), F.struct("pos", "body")))), lambda x: x["body"]), " ")
+    per = sections(df, key, text, header).groupBy(*key).agg(joined(findings or FINDINGS).alias("f"), joined(impression or IMPRESSION).alias("i"))
+    names = "|".join(sorted(NON_CLINICAL if other is None else other, key=len, reverse=True))
+    lines = F.regexp_replace(F.col(text), r"\r\n?", "\n")
+    tail = F.regexp_replace(lines, rf"(?s)^(?:.*\n)?[ \t]*(?:{names}):", "")
+    tail = F.regexp_replace(F.trim(F.regexp_replace(tail, r"\s+", " ")), r"^FINAL REPORT\s*", "")
+    out = df.filter(F.col(text).isNotNull()).select(*key, tail.alias("tail")).join(per, key, "left")
+    f, i = (F.coalesce(F.col(c), F.lit("")) for c in ("f", "i"))
+    source = F.when((f != "") & (i != ""), "sections").when(f != "", "findings_only").when(i != "", "impression_only").when(F.col("tail") != "", "fallback").otherwise("empty")
+    return out.select(*key, F.when((f != "") | (i != ""), f).otherwise(F.col("tail")).alias("findings"), i.alias("impression"), source.alias("source"))
 
 
 def sentences(df: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -124,27 +142,58 @@ def set_f1(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * hit / total)
 
 
-def compare_claims(expected: DataFrame, claimed: DataFrame, tolerated: DataFrame, key: list[str]) -> DataFrame:
+def compare_claims(expected: DataFrame, claimed: DataFrame, tolerated: DataFrame, key: list[str], zoned: list[str] | None = None) -> DataFrame:
     """(key, node, kind) of every mismatch between expected and claimed statements (key, node, certainty, side, zone).
 
-    Kinds: missing, negated, asserted (present claimed where absent is expected), certainty, extra, side_added, side_wrong,
-    zone_wrong. An extra present claim about an ancestor of a stated node is no mismatch; tolerated: (node, ancestor).
+    expected has a row a node, claimed may have several. Kinds: omitted, polarity, certainty, side (another than expected,
+    or any where none is expected), zone (the same, the latter for zoned nodes only), added, added_negative. Claims about
+    an ancestor of a stated node are tolerated; tolerated: (node, ancestor). Sides and zones of absent statements don't count.
+    """
+    said = claimed.groupBy(*key, "node").agg(*[F.collect_set(c).alias(f"c_{c}") for c in ("certainty", "side", "zone")])
+    e = expected.select(*key, "node", "certainty", "side", "zone", F.lit(True).alias("_e"))
+    fine = expected.filter("certainty <> 'absent'").select(*key, "node").join(F.broadcast(tolerated), "node").select(*key, F.col("ancestor").alias("node"), F.lit(True).alias("_f")).distinct()
+    both = e.join(said, [*key, "node"], "full").join(fine, [*key, "node"], "left")
+    has = lambda c: F.coalesce(F.size(f"c_{c}") > 0, F.lit(False))
+    holds = lambda c: F.coalesce(F.array_contains(f"c_{c}", F.col(c)), F.lit(False))
+    claimed_at_all = F.col("c_certainty").isNotNull()
+    stated = F.col("certainty").isin("present", "possible")
+    positive = F.coalesce(F.arrays_overlap("c_certainty", F.array(F.lit("present"), F.lit("possible"))), F.lit(False))
+    differs = lambda c, extra: stated & F.when(F.col(c).isNotNull(), ~holds(c)).otherwise(has(c) & extra)
+    here = F.col("_e").isNotNull()
+    new = ~here & F.col("_f").isNull()
+    in_zone = F.lit(True) if zoned is None else F.col("node").isin(zoned)
+    kinds = F.array_compact(F.array(
+        F.when(here & ~claimed_at_all, "omitted"),
+        F.when(here & claimed_at_all & ~holds("certainty"), F.when(stated != positive, "polarity").otherwise("certainty")),
+        F.when(here & claimed_at_all & differs("side", F.lit(True)), "side"),
+        F.when(here & claimed_at_all & differs("zone", in_zone), "zone"),
+        F.when(new, F.when(positive, "added").otherwise("added_negative")),
+    ))
+    return both.select(*key, "node", F.explode(kinds).alias("kind"))
+
+
+def lobe_mentions(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, node, kind) with kind lobe for every text that names a lobe, which is never licensed."""
+    return df.filter(F.col(text).rlike(r"(?i)\blobes?\b|\blingula")).select(*key, F.lit(None).cast("string").alias("node"), F.lit("lobe").alias("kind"))
+
+
+def regenerate(pending: DataFrame, key: list[str], generate, check, template: DataFrame, attempts: int = 3) -> DataFrame:
+    """(key, text, attempt, source) after generating, checking and trying again; what never passes takes its template.
+
+    generate(rows, attempt) gives (key, text); check(texts) gives (key, kind) rows of what is wrong. Every attempt works on
+    the rows left over by an anti join, so there are at most attempts rounds, whatever the number of rows.
     """
-    e = expected.select(*key, "node", F.col("certainty").alias("ec"), F.col("side").alias("es"), F.col("zone").alias("ez"))
-    c = claimed.select(*key, "node", F.col("certainty").alias("cc"), F.col("side").alias("cs"), F.col("zone").alias("cz"))
-    fine = e.filter("ec <> 'absent'").join(F.broadcast(tolerated), "node").select(*key, F.col("ancestor").alias("node"), F.lit(True).alias("fine")).distinct()
-    both = e.join(c, [*key, "node"], "full").join(fine, [*key, "node"], "left")
-    k = (
-        F.when(F.col("cc").isNull(), "missing")
-        .when(F.col("ec").isNull(), F.when(F.coalesce(F.col("fine"), F.lit(False)) & (F.col("cc") != "absent"), None).otherwise("extra"))
-        .when((F.col("ec") != "absent") & (F.col("cc") == "absent"), "negated")
-        .when((F.col("ec") == "absent") & (F.col("cc") != "absent"), "asserted")
-        .when(F.col("ec") != F.col("cc"), "certainty")
-        .when(F.col("es").isNull() & F.col("cs").isNotNull(), "side_added")
-        .when(F.col("es") != F.col("cs"), "side_wrong")
-        .when(F.col("ez") != F.col("cz"), "zone_wrong")
-    )
-    return both.select(*key, "node", k.alias("kind")).filter("kind is not null")
+    done, left = None, pending
+    for attempt in range(1, attempts + 1):
+        texts = cut(generate(left, attempt).select(*key, "text"))
+        wrong = check(texts).select(*key).distinct()
+        good = texts.join(wrong, key, "left_anti").select(*key, "text", F.lit(attempt).alias("attempt"), F.lit("generated").alias("source"))
+        done = good if done is None else done.unionByName(good)
+        left = cut(left.join(good.select(*key), key, "left_anti"))
+        if left.isEmpty():
+            return done
+    rest = left.select(*key).join(template.select(*key, "text"), key).select(*key, "text", F.lit(attempts).alias("attempt"), F.lit("template").alias("source"))
+    return done.unionByName(rest)
 
 
 def corrupt(statements: DataFrame, how: str) -> DataFrame:

@@ -105,13 +105,13 @@ def supports(spark: SparkSession, d: str) -> DataFrame:
     return c.join(b, "concept_id").groupBy(F.col("study_id").alias("entity")).agg(on("left").alias("l"), on("right").alias("r"))
 
 
-@query(f"WITH {_SIDES_SQL} SELECT entity, CASE WHEN l >= 0.5 AND r >= 0.5 THEN 'bilateral' WHEN l >= 0.5 THEN 'left' WHEN r >= 0.5 THEN 'right' END AS side FROM sides")
+@query(f"WITH {_SIDES_SQL} SELECT entity, CASE WHEN l IS NULL OR r IS NULL THEN NULL WHEN l >= 0.5 AND r >= 0.5 THEN 'bilateral' WHEN l >= 0.5 THEN 'left' WHEN r >= 0.5 THEN 'right' END AS side FROM sides")
 def region_side(spark: SparkSession, d: str) -> DataFrame:
     return supports(spark, d).select("entity", decide.side_of(F.col("l"), F.col("r"), F.lit(0.5)).alias("side"))
 
 
-@query(f"""WITH {_SIDES_SQL}, s AS (SELECT entity, CASE WHEN l >= 0.5 AND r >= 0.5 THEN 'bilateral' WHEN l >= 0.5 THEN 'left' WHEN r >= 0.5 THEN 'right' END AS a, CASE WHEN l > r THEN 'left' WHEN r > l THEN 'right' END AS b FROM sides)
-SELECT coalesce(CASE WHEN b IS NULL OR a IS NOT DISTINCT FROM b THEN a END, 'none') AS kept, count(*) AS n FROM s GROUP BY 1""")
+@query(f"""WITH {_SIDES_SQL}, s AS (SELECT entity, CASE WHEN l IS NULL OR r IS NULL THEN NULL WHEN l >= 0.5 AND r >= 0.5 THEN 'bilateral' WHEN l >= 0.5 THEN 'left' WHEN r >= 0.5 THEN 'right' END AS a, CASE WHEN l > r THEN 'left' WHEN r > l THEN 'right' END AS b FROM sides)
+SELECT coalesce(CASE WHEN a = b THEN a END, 'none') AS kept, count(*) AS n FROM s GROUP BY 1""")
 def side_agreement(spark: SparkSession, d: str) -> DataFrame:
     l, r = F.col("l"), F.col("r")
     a, b = decide.side_of(l, r, F.lit(0.5)), F.when(l > r, "left").when(r > l, "right")
@@ -119,13 +119,13 @@ def side_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT dicom_id, view_position AS v, ('0x' || substr(sha256('x:' || dicom_id), 1, 15))::BIGINT / pow(16, 15) AS x FROM (SELECT DISTINCT dicom_id, view_position FROM study_records))
-SELECT dicom_id, CASE WHEN v IS NULL OR upper(v) NOT IN ('PA', 'AP') THEN 'unknown' WHEN abs(x - 0.5) <= 0.05 THEN 'midline' WHEN x < 0.5 THEN 'right' ELSE 'left' END AS side,
-x > 0.02 AND coalesce(upper(v) = 'PA', false) AS reliable FROM x""")
+SELECT dicom_id, CASE WHEN v IS NULL OR v NOT IN ('PA', 'AP') THEN 'unknown' WHEN abs(x - 0.5) < 0.05 THEN 'midline' WHEN x > 0.5 THEN 'left' ELSE 'right' END AS side,
+x > 0.02 AND coalesce(v = 'PA', false) AS reliable FROM x""")
 def flip_side(spark: SparkSession, d: str) -> DataFrame:
     from strataform.functions.hashing import unit_hash
 
     r = table(spark, d, "study_records").select("dicom_id", F.col("view_position").alias("v")).distinct().withColumn("x", unit_hash("x", F.col("dicom_id")))
-    rel = decide.ratio_reliability(F.when(F.col("x") > 0.02, F.col("x")), F.coalesce("v", F.lit("")))
+    rel = decide.ratio_reliability(F.when(F.col("x") > 0.02, F.col("x")), F.col("v"))
     return r.select("dicom_id", decide.image_side(F.col("x"), F.col("v"), F.lit(False)).alias("side"), rel["reliable"].alias("reliable"))
 
 
@@ -153,3 +153,65 @@ def threshold_picker(spark: SparkSession, d: str) -> DataFrame:
     known = [c for c, _ in IS_A]
     low = lambda v: F.min(F.when(F.col("y") == v, F.col("p")))
     return scores(spark, d).filter(F.col("node").isin(known)).groupBy("node").agg(F.coalesce(low(1), low(0)).alias("thr"), F.count("*").alias("n"))
+
+
+# Names of regions with their places, and the places that hold others, for the queries on localisations.
+REGIONS = [("right upper lung zone", "right_upper_zone"), ("left mid lung zone", "left_mid_zone"), ("left lower lobe", "left_lower_lobe"), ("cardiac silhouette", "heart"), ("right costophrenic angle", "right_costophrenic_angle"), ("spine", None)]
+PARTS = [("right_upper_zone", "right_lung"), ("left_mid_zone", "left_lung"), ("left_lower_lobe", "left_lung"), ("right_costophrenic_angle", "right_lung"), ("right_lung", "lungs"), ("left_lung", "lungs"), ("lungs", "thorax"), ("heart", "thorax")]
+ALLOWED = [("pneumonia", "lungs"), ("consolidation", "lungs"), ("cardiomegaly", "heart"), ("any_abnormality", "thorax")]
+_REGIONS_SQL = "regions(i, region, place) AS (VALUES " + ", ".join(f"({i}, '{r}', {chr(39) + p + chr(39) if p else 'NULL'})" for i, (r, p) in enumerate(REGIONS)) + ")"
+_PARTS_SQL = "parts(child, parent) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PARTS) + ")"
+_ALLOWED_SQL = "allowed(node, place) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ALLOWED) + ")"
+
+
+def grounded(spark: SparkSession, d: str) -> DataFrame:
+    """Localisations of the scores: a region of each from a hash, with place, zone, side and validity."""
+    from strataform.functions.hashing import hash_bucket
+
+    names = F.array(*[F.lit(r) for r, _ in REGIONS])
+    loc = scores(spark, d).select("entity", "node", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("k"), F.col("p").alias("score"))
+    loc = loc.withColumn("region", F.concat(F.lit(" "), F.upper(names[hash_bucket("reg", F.concat_ws(":", F.col("entity").cast("string"), "node", "k"), len(REGIONS)).cast("int")])))
+    places = spark.createDataFrame([x for x in REGIONS if x[1]], "region string, place string")
+    pairs = ontology.closure(spark.createDataFrame(PARTS, "child string, parent string"), reflexive=True)
+    sides = spark.createDataFrame([("right_lung", "right"), ("left_lung", "left")], "place string, side string")
+    return decide.ground(loc.drop("k"), places, pairs, sides, spark.createDataFrame(ALLOWED, "node string, place string"))
+
+
+_GROUND_SQL = f"""{SCORES_SQL}, {_REGIONS_SQL}, {_PARTS_SQL}, {_ALLOWED_SQL}, up(place, anc) AS (SELECT child, child FROM parts UNION SELECT parent, parent FROM parts UNION SELECT up.place, parent FROM up JOIN parts ON child = anc),
+loc AS (SELECT entity, node, p AS score, region, r.place FROM scores, (VALUES ('a'), ('b')) k(k) JOIN regions r ON r.i = ('0x' || substr(sha256('reg:' || entity || ':' || node || ':' || k), 1, 8))::BIGINT % 6),
+g AS (SELECT loc.*, CASE WHEN contains(place, 'lobe') OR contains(place, 'lingula') THEN NULL WHEN contains(place, 'upper') THEN 'upper' WHEN contains(place, 'mid') THEN 'middle' WHEN contains(place, 'lower') OR contains(place, 'costophrenic') THEN 'lower' END AS zone,
+(SELECT replace(anc, '_lung', '') FROM up WHERE up.place = loc.place AND anc IN ('left_lung', 'right_lung')) AS side,
+place IS NOT NULL AND (node NOT IN (SELECT node FROM allowed) OR EXISTS (SELECT 1 FROM up JOIN allowed a ON a.place = anc WHERE up.place = loc.place AND a.node = loc.node)) AS valid FROM loc)"""
+
+
+@query(f"WITH RECURSIVE {_GROUND_SQL} SELECT node, region, place, zone, side, valid, count(*) AS n FROM g GROUP BY ALL")
+def grounded_localisations(spark: SparkSession, d: str) -> DataFrame:
+    return grounded(spark, d).groupBy("node", "region", "place", "zone", "side", "valid").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_GROUND_SQL}, s AS (SELECT entity, node, coalesce(bool_or(valid AND score >= 0.5 AND side = 'left'), false) AS l, coalesce(bool_or(valid AND score >= 0.5 AND side = 'right'), false) AS r FROM g GROUP BY ALL)
+SELECT entity, node, CASE WHEN l AND r THEN 'bilateral' WHEN l THEN 'left' WHEN r THEN 'right' END AS side FROM s""")
+def grounded_sides(spark: SparkSession, d: str) -> DataFrame:
+    return decide.grounded_side(grounded(spark, d))
+
+
+@query("""WITH s AS (SELECT c.study_id AS entity, canonical_finding AS node, laterality AS side, anatomy AS zone, max(contribution) AS score FROM cbm_contributions c JOIN concept_bank USING (concept_id)
+WHERE c.study_id IS NOT NULL AND NOT isnan(contribution) AND laterality IN ('left', 'right') AND anatomy IN ('upper', 'middle', 'lower') GROUP BY ALL)
+SELECT entity, node, side, zone, score FROM (SELECT *, row_number() OVER (PARTITION BY entity, node, side ORDER BY score DESC, CASE zone WHEN 'upper' THEN 0 WHEN 'middle' THEN 1 ELSE 2 END) AS n FROM s) WHERE n = 1""")
+def best_zones(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "cbm_contributions").filter("study_id is not null and not isnan(contribution)").select(F.col("study_id").alias("entity"), "concept_id", "contribution")
+    b = F.broadcast(table(spark, d, "concept_bank").filter("laterality in ('left', 'right') and anatomy in ('upper', 'middle', 'lower')").select("concept_id", F.col("canonical_finding").alias("node"), F.col("laterality").alias("side"), F.col("anatomy").alias("zone")))
+    return decide.best_zone(c.join(b, "concept_id").groupBy("entity", "node", "side", "zone").agg(F.max("contribution").alias("score")))
+
+
+_ALWAYS = ["pneumothorax", "pleural_effusion", "consolidation", "cardiomegaly"]
+
+
+@query(f"""WITH RECURSIVE {CLOSURE_SQL}, {BANDS_SQL}, n AS (SELECT *, CASE WHEN band = 'present' THEN 2 WHEN band = 'possible' THEN 1 END AS sure FROM bands),
+b AS (SELECT entity, ancestor AS node, max(sure) AS below FROM n JOIN (SELECT DISTINCT ancestor, descendant FROM closure) ON descendant = node WHERE sure IS NOT NULL AND node <> 'any_abnormality' GROUP BY ALL), t AS (SELECT DISTINCT entity FROM n WHERE band = 'present' AND node IN ('cardiomegaly', 'pleural_effusion'))
+SELECT n.entity, n.node, CASE WHEN band = 'silent' OR n.node = 'any_abnormality' THEN 'P3' WHEN sure IS NOT NULL AND below >= sure THEN 'P1' WHEN band = 'absent' AND NOT (n.node IN ('pneumothorax', 'pleural_effusion', 'consolidation', 'cardiomegaly') OR n.node = 'edema' AND n.entity IN (SELECT entity FROM t)) THEN 'P2' END AS rule FROM n LEFT JOIN b ON b.entity = n.entity AND b.node = n.node""")
+def licensed_statements(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    nodes = banded(spark, d).select("entity", "node", "band", none.alias("side"), F.lit(None).cast("double").alias("side_conf"), none.alias("zone"))
+    s = decide.statements(nodes, ontology.closure(links(spark)), [ROOT], _ALWAYS, {"edema": ["cardiomegaly", "pleural_effusion"]}, ["pneumonia"])
+    return s.select("entity", "node", "rule")

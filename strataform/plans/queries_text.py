@@ -11,8 +11,6 @@ from strataform.runtime import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-FINDINGS = ["FINDINGS", "BEFUND", "RESULTADOS", "ACHADOS"]
-IMPRESSIONS = ["IMPRESSION", "BEURTEILUNG", "IMPRESIÓN", "CONCLUSÃO", "CONCLUSION"]
 
 
 def query(sql: str | None = None):
@@ -56,18 +54,21 @@ def regex_grep(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).filter(F.col("text").rlike(r"(?i)pneumo[a-z]+")).select("doc_id").orderBy("doc_id").limit(20)
 
 
-@query(r"""WITH s AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)^[ \t]*(\p{Lu}[\p{Lu} ]*\p{Lu}):', 1) AS h FROM documents WHERE text IS NOT NULL)
+@query(r"""WITH s AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)^[ \t]*([A-Z][A-Z /&\-]{2,40}):', 1) AS h FROM documents WHERE text IS NOT NULL)
 SELECT unnest(h) AS header, count(*) AS n, count(DISTINCT doc_id) AS texts FROM s GROUP BY 1""")
 def section_split(spark: SparkSession, d: str) -> DataFrame:
     s = text.sections(docs(spark, d), ["doc_id"], "text").filter("header is not null")
     return s.groupBy("header").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("texts"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, t, regexp_extract_all(t, '(?m)^[ \t]*([A-Z][A-Z /&\-]{2,40}):', 1) AS n, string_split_regex(t, '(?m)^[ \t]*[A-Z][A-Z /&\-]{2,40}:')[2:] AS b FROM s),
+e AS (SELECT doc_id, trim(unnest(n), ' ') AS n, trim(regexp_replace(unnest(b), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS b FROM h),
+p AS (SELECT doc_id, bool_or(n IN ('FINDINGS', 'FINDING', 'FINDINGS AND IMPRESSION', 'FINDINGS/IMPRESSION', 'IMPRESSION AND FINDINGS') AND b <> '') AS f, bool_or(n IN ('IMPRESSION', 'IMPRESSIONS', 'CONCLUSION', 'SUMMARY') AND b <> '') AS i FROM e GROUP BY doc_id)
+SELECT CASE WHEN f AND i THEN 'sections' WHEN f THEN 'findings_only' WHEN i THEN 'impression_only' ELSE 'other' END AS source, count(*) AS n FROM s LEFT JOIN p USING (doc_id) GROUP BY 1""")
 def section_sources(spark: SparkSession, d: str) -> DataFrame:
-    """The findings and impression of every text, and where they come from."""
-    base = docs(spark, d)
-    return text.section_source(base, ["doc_id"], text.sections(base, ["doc_id"], "text"), FINDINGS, IMPRESSIONS)
+    """Where the findings and impression of the texts come from."""
+    s = text.section_source(docs(spark, d), ["doc_id"], "text").select(F.when(F.col("source").isin("fallback", "empty"), "other").otherwise(F.col("source")).alias("source"))
+    return s.groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query(r"""SELECT doc_id, regexp_extract(text, '(?is)^\s*FINAL REPORT\s*EXAM:\s*(.*?)\s*INDICATION:\s*(.*?)\s*$', 1) AS first FROM documents WHERE regexp_matches(text, '(?is)^\s*FINAL REPORT\s*EXAM:\s*(.*?)\s*INDICATION:\s*(.*?)\s*$')""")
@@ -156,12 +157,14 @@ _ST = """(SELECT concept_id % 300 AS doc, canonical_finding AS node, max(CASE re
 
 
 @query(f"""WITH RECURSIVE {CLOSURE_SQL}, e AS {_ST.format(0)}, c AS {_ST.format(1)}, fine AS (SELECT DISTINCT e.doc, ancestor AS node FROM e JOIN closure ON descendant = e.node WHERE certainty <> 'absent'),
-k AS (SELECT coalesce(e.doc, c.doc) AS doc, coalesce(e.node, c.node) AS node, CASE WHEN c.certainty IS NULL THEN 'missing' WHEN e.certainty IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM fine f WHERE f.doc = c.doc AND f.node = c.node) AND c.certainty <> 'absent' THEN NULL ELSE 'extra' END
-WHEN e.certainty <> 'absent' AND c.certainty = 'absent' THEN 'negated' WHEN e.certainty = 'absent' AND c.certainty <> 'absent' THEN 'asserted' WHEN e.certainty <> c.certainty THEN 'certainty' WHEN e.side IS NULL AND c.side IS NOT NULL THEN 'side_added' WHEN e.side <> c.side THEN 'side_wrong' WHEN e.zone <> c.zone THEN 'zone_wrong' END AS kind
-FROM e FULL JOIN c ON e.doc = c.doc AND e.node = c.node) SELECT kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY kind""")
+f AS (SELECT coalesce(e.doc, c.doc) AS doc, coalesce(e.node, c.node) AS node, e.certainty AS ec, c.certainty AS cc, e.side AS es, c.side AS cs, e.zone AS ez, c.zone AS cz FROM e FULL JOIN c ON e.doc = c.doc AND e.node = c.node),
+k AS (SELECT 'omitted' AS kind FROM f WHERE cc IS NULL UNION ALL SELECT CASE WHEN (ec <> 'absent') <> (cc <> 'absent') THEN 'polarity' ELSE 'certainty' END FROM f WHERE ec <> cc
+UNION ALL SELECT 'side' FROM f WHERE ec <> 'absent' AND cc IS NOT NULL AND (es IS NOT NULL AND es IS DISTINCT FROM cs OR es IS NULL AND cs IS NOT NULL)
+UNION ALL SELECT 'zone' FROM f WHERE ec <> 'absent' AND cc IS NOT NULL AND (ez IS NOT NULL AND ez IS DISTINCT FROM cz OR ez IS NULL AND cz IS NOT NULL AND node = 'pneumonia')
+UNION ALL SELECT CASE WHEN cc = 'absent' THEN 'added_negative' ELSE 'added' END FROM f WHERE ec IS NULL AND NOT EXISTS (SELECT 1 FROM fine WHERE fine.doc = f.doc AND fine.node = f.node)) SELECT kind, count(*) AS n FROM k GROUP BY kind""")
 def claim_compare(spark: SparkSession, d: str) -> DataFrame:
     pairs = ontology.closure(links(spark)).select(F.col("descendant").alias("node"), "ancestor")
-    return text.compare_claims(statements(spark, d, 0), statements(spark, d, 1), pairs, ["doc"]).groupBy("kind").agg(F.count("*").alias("n"))
+    return text.compare_claims(statements(spark, d, 0), statements(spark, d, 1), pairs, ["doc"], ["pneumonia"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH e AS {_ST.format(0)} SELECT doc, string_agg(CASE certainty WHEN 'absent' THEN 'No ' || replace(node, '_', ' ') || '.' WHEN 'possible' THEN 'Possible ' || coalesce(side || ' ', '') || replace(node, '_', ' ') || '.' ELSE 'There is ' || coalesce(side || ' ', '') || replace(node, '_', ' ') || '.' END, ' ' ORDER BY node) AS text FROM e GROUP BY doc""")
@@ -178,8 +181,8 @@ def corruption_detected(spark: SparkSession, d: str) -> DataFrame:
     none = spark.createDataFrame([], "node string, ancestor string")
     out = None
     for how in ("drop", "negate", "add_side"):
-        base = e.filter("side is null") if how == "add_side" else e
-        found = text.compare_claims(base, text.corrupt(base, how), none, ["doc"]).agg(F.count("*").alias("flagged")).crossJoin(base.agg(F.count("*").alias("statements"))).withColumn("fault", F.lit(how))  # one row each
+        base = e.filter("side is null and certainty <> 'absent'") if how == "add_side" else e
+        found = text.compare_claims(base, text.corrupt(base, how), none, ["doc"]).filter("kind in ('omitted', 'polarity', 'side')").select("doc", "node").distinct().agg(F.count("*").alias("flagged")).crossJoin(base.agg(F.count("*").alias("statements"))).withColumn("fault", F.lit(how))  # one row each
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -145,9 +145,9 @@ def test_audit_and_sides(spark):
     df = spark.createDataFrame([(1, None, "a", "b"), (2, None, "a", "a")], "k int, x string, y string, z string")
     assert rows(decide.audit(df, ["k"], [("D1", "band", "x", "y"), ("D2", "band", "y", "z")])) == [(1, 0, "D1", "band", None, "a"), (1, 1, "D2", "band", "a", "b"), (2, 0, "D1", "band", None, "a")]
     s = spark.createDataFrame([(0.6, 0.7), (0.6, 0.1), (None, 0.9), (0.1, None)], "l double, r double").select(decide.side_of(F.col("l"), F.col("r"), F.lit(0.5)))
-    assert [r[0] for r in s.collect()] == ["bilateral", "left", "right", None]
-    x = spark.createDataFrame([(0.1, "PA", False), (0.1, "AP", True), (0.5, "PA", False), (0.1, "LATERAL", False), (None, "PA", False), (1.4, "PA", False)], "x double, v string, f boolean").select(decide.image_side(F.col("x"), F.col("v"), F.col("f")))
-    assert [r[0] for r in x.collect()] == ["right", "left", "midline", "unknown", "unknown", "unknown"]
+    assert [r[0] for r in s.collect()] == ["bilateral", "left", None, None]
+    x = spark.createDataFrame([(0.1, "PA", False), (0.1, "AP", True), (0.5, "PA", False), (0.1, "LATERAL", False), (None, "PA", False), (0.55, "PA", False), (0.9, None, False)], "x double, v string, f boolean").select(decide.image_side(F.col("x"), F.col("v"), F.col("f")))
+    assert [r[0] for r in x.collect()] == ["right", "left", "midline", "unknown", "unknown", "left", "unknown"]
 
 
 def test_nearest_is_exact_and_excludes_groups(spark):
@@ -172,22 +172,81 @@ def test_text(spark):
     df = spark.createDataFrame([(1, "EXAM: chest\r\nFINDINGS: No  edema.\nIMPRESSION:\nStable."), (2, "just text"), (3, ""), (4, None)], "k int, t string")
     s = {(r.k, r.pos): (r.header, r.body) for r in text.sections(df, ["k"], "t").collect()}
     assert s[1, 2] == ("FINDINGS", "No edema.") and s[1, 3] == ("IMPRESSION", "Stable.") and s[2, 0] == (None, "just text") and (3, 0) not in s
-    src = {r.k: r.source for r in text.section_source(df.filter("t is not null"), ["k"], text.sections(df, ["k"], "t"), ["FINDINGS"], ["IMPRESSION"]).collect()}
-    assert src == {1: "both", 2: "whole", 3: "none"}
+    more = df.unionByName(spark.createDataFrame([(5, "FINAL REPORT\nEXAM: chest\nHISTORY: cough\n Lungs clear."), (6, "IMPRESSION: ok"), (7, "FINDINGS:\nfine"), (8, "FINAL REPORT  body")], "k int, t string"))
+    src = {r.k: (r.source, r.findings, r.impression) for r in text.section_source(more, ["k"], "t").collect()}
+    assert src == {
+        1: ("sections", "No edema.", "Stable."), 2: ("fallback", "just text", ""), 3: ("empty", "", ""), 5: ("fallback", "cough Lungs clear.", ""),
+        6: ("impression_only", "", "ok"), 7: ("findings_only", "fine", ""), 8: ("fallback", "body", ""),
+    }
     lat = spark.createDataFrame([("left base",), ("Left and right",), ("bilateral left",), ("midline",), ("base",), (None,)], "t string").select(text.laterality(F.col("t")))
     assert [r[0] for r in lat.collect()] == ["left", "bilateral", "bilateral", "midline", "unspecified", None]
     f = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], [])], "a array<string>, b array<string>").select(text.set_f1(F.col("a"), F.col("b")))
     assert [r[0] for r in f.collect()] == [0.5, 1.0]
 
 
+def claims(spark, data):
+    return spark.createDataFrame(data, "doc int, node string, certainty string, side string, zone string")
+
+
 def test_corruption_is_always_caught(spark):
-    s = spark.createDataFrame([(i, n, c, None, None) for i in range(5) for n, c in (("edema", "present"), ("pneumonia", "absent"))], "doc int, node string, certainty string, side string, zone string")
+    s = claims(spark, [(i, n, "present", None, None) for i in range(5) for n in ("edema", "pneumonia")])
     none = spark.createDataFrame([], "node string, ancestor string")
-    for how in ("drop", "negate", "add_side"):
-        assert text.compare_claims(s, text.corrupt(s, how), none, ["doc"]).count() == 10
+    for how, kind in (("drop", "omitted"), ("negate", "polarity"), ("add_side", "side")):
+        found = text.compare_claims(s, text.corrupt(s, how), none, ["doc"]).collect()
+        assert len(found) == 10 and {r.kind for r in found} == {kind}
     assert text.compare_claims(s, s, none, ["doc"]).count() == 0
 
 
+def test_claim_kinds(spark):
+    e = claims(spark, [(1, "pneumonia", "present", "left", "lower"), (1, "edema", "absent", None, None), (2, "edema", "possible", None, None)])
+    c = claims(spark, [(1, "pneumonia", "present", "right", None), (1, "lung_opacity", "present", None, None), (1, "edema", "present", "left", None), (2, "edema", "present", None, "upper"), (2, "fracture", "absent", None, None), (2, "mass", "possible", None, None)])
+    tolerated = spark.createDataFrame([("pneumonia", "lung_opacity")], "node string, ancestor string")
+    got = rows(text.compare_claims(e, c, tolerated, ["doc"], ["pneumonia"]))
+    assert got == [(1, "edema", "polarity"), (1, "pneumonia", "side"), (1, "pneumonia", "zone"), (2, "edema", "certainty"), (2, "fracture", "added_negative"), (2, "mass", "added")]
+    lobes = spark.createDataFrame([(1, "left lower lobe"), (2, "global")], "doc int, t string")
+    assert rows(text.lobe_mentions(lobes, ["doc"], "t")) == [(1, None, "lobe")]
+
+
+def test_regenerate(spark):
+    def generate(left, attempt):
+        return left.select("k", F.concat(F.lit("try "), F.lit(attempt), F.lit(" of "), F.col("k").cast("string")).alias("text"))
+
+    def check(texts):  # the k-th row passes at the k-th attempt
+        return texts.filter(~F.col("text").startswith(F.concat(F.lit("try "), F.col("k").cast("string")))).select("k", F.lit("wrong").alias("kind"))
+
+    pending = spark.range(1, 6).withColumnRenamed("id", "k")
+    out = text.regenerate(pending, ["k"], generate, check, pending.withColumn("text", F.lit("template")))
+    assert rows(out) == [(1, "try 1 of 1", 1, "generated"), (2, "try 2 of 2", 2, "generated"), (3, "try 3 of 3", 3, "generated"), (4, "template", 3, "template"), (5, "template", 3, "template")]
+
+
+def test_grounding(spark):
+    z = spark.createDataFrame([("left_hemidiaphragm",), ("right_upper_abdomen",), ("left_mid_zone",), ("right_upper_lobe",), ("spine",), (None,)], "n string")
+    assert [r[0] for r in z.select(decide.zone_of(F.col("n"))).collect()] == ["middle", "upper", "middle", None, None, None]
+    assert [r[0] for r in z.select(decide.zone_of(F.col("n"), strict=True)).collect()] == [None, "upper", "middle", None, None, None]
+    loc = spark.createDataFrame([(1, "pneumonia", "Left Lung", 0.9), (1, "pneumonia", "right lung", 0.4), (1, "pneumonia", "heart", 0.9), (1, "pneumonia", "moon", 0.9), (2, "pneumonia", "left lung", 0.6), (2, "pneumonia", "right lung", 0.6), (3, "other", "heart", 0.9)], "entity int, node string, region string, score double")
+    places = spark.createDataFrame([("left lung", "left_lung"), ("right lung", "right_lung"), ("heart", "heart")], "region string, place string")
+    pairs = ontology.closure(ontology.links_frame(spark, [("left_lung", "lungs"), ("right_lung", "lungs"), ("heart", "thorax"), ("lungs", "thorax")]), reflexive=True)
+    sides = spark.createDataFrame([("left_lung", "left"), ("right_lung", "right")], "place string, side string")
+    g = decide.ground(loc, places, pairs, sides, spark.createDataFrame([("pneumonia", "lungs")], "node string, place string"))
+    assert g.count() == 7 and {(r.region, r.valid) for r in g.filter("node = 'pneumonia'").collect()} == {("left lung", True), ("right lung", True), ("heart", False), ("moon", False)}
+    assert rows(decide.grounded_side(g)) == [(1, "pneumonia", "left"), (2, "pneumonia", "bilateral"), (3, "other", None)]
+
+
+def test_statements(spark):
+    n = [
+        (1, "any_abnormality", "absent", None, None, None), (1, "lung_opacity", "present", "left", 0.9, "lower"), (1, "pneumonia", "present", "left", 0.9, "lower"), (1, "consolidation", "possible", None, None, None),
+        (1, "edema", "absent", None, None, None), (1, "pneumothorax", "absent", None, None, None), (1, "fracture", "silent", None, None, None),
+        (2, "lung_opacity", "present", "left", 0.7, "upper"), (2, "edema", "absent", None, None, None), (2, "cardiomegaly", "present", "right", 0.9, "upper"),
+    ]
+    nodes = spark.createDataFrame(n, "entity int, node string, band string, side string, side_conf double, zone string")
+    got = {(r.entity, r.node): (r.rule, r.side, r.zone) for r in decide.statements(nodes, ontology.closure(ontology.links_frame(spark, IS_A)), ["any_abnormality"], ["pneumothorax"], {"edema": ["cardiomegaly"]}, ["lung_opacity", "pneumonia"]).collect()}
+    assert got[1, "any_abnormality"][0] == "P3" and got[1, "fracture"][0] == "P3" and got[1, "edema"][0] == "P2" and got[1, "lung_opacity"] == ("P1", None, None)
+    assert got[1, "pneumonia"] == (None, "left", "lower") and got[1, "pneumothorax"] == (None, None, None) and got[1, "consolidation"][0] == "P1"
+    assert got[2, "edema"] == (None, None, None) and got[2, "lung_opacity"] == (None, None, None) and got[2, "cardiomegaly"] == (None, "right", None)
+    best = spark.createDataFrame([(1, "a", "left", "lower", 0.5), (1, "a", "left", "upper", 0.5), (1, "a", "right", "middle", None)], "entity int, node string, side string, zone string, score double")
+    assert rows(decide.best_zone(best)) == [(1, "a", "left", "upper", 0.5)]
+
+
 def test_masks_and_boxes(spark):
     runs = vectors.run_lengths(spark.createDataFrame([(1, 10, "9 4 21 2"), (2, 10, ""), (3, 10, None)], "k int, w int, rle string"), "rle")
     m = vectors.mask_shape(runs, ["k"], "w").collect()

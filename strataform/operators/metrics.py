@@ -150,3 +150,28 @@ def running_sums(df: DataFrame, group: list[str]) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(F.col("p").desc(), F.col("id").asc()).rowsBetween(Window.unboundedPreceding, 0)
     known = df.filter("y is not null and p is not null")
     return known.withColumn("k", F.count("*").over(w)).withColumn("tp", F.sum("y").over(w)).withColumn("ppv", F.col("tp") / F.col("k"))
+
+
+def equivalence(a: DataFrame, b: DataFrame, keys: list[str], numbers: list[str], exact: list[str], tolerance: float) -> DataFrame:
+    """One row: rows of one side only, and for each column how many differ (numbers by more than tolerance, nulls as values)."""
+    left = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in [*numbers, *exact]], F.lit(True).alias("_a"))
+    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in [*numbers, *exact]], F.lit(True).alias("_b"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    far = lambda c: ~F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= tolerance, F.col(f"a_{c}").isNull() & F.col(f"b_{c}").isNull())
+    other = lambda c: ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    return left.join(right, keys, "full").agg(
+        F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"),
+        *[F.count_if(both & far(c)).alias(f"differ_{c}") for c in numbers], *[F.count_if(both & other(c)).alias(f"differ_{c}") for c in exact],
+    )
+
+
+def variant_summary(intervals: DataFrame, group: list[str]) -> DataFrame:
+    """group, better, worse, unclear: how many paired differences have an interval above, below or across zero."""
+    return intervals.groupBy(*group).agg(F.count_if(F.col("low") > 0).alias("better"), F.count_if(F.col("high") < 0).alias("worse"), F.count_if((F.col("low") <= 0) & (F.col("high") >= 0)).alias("unclear"))
+
+
+def attempt_summary(log: DataFrame) -> DataFrame:
+    """One row from (item, attempt, passed, source): items, and shares that passed at first, were regenerated or fell back."""
+    per = log.groupBy("item").agg(F.bool_or((F.col("attempt") == 1) & F.col("passed")).alias("first"), F.bool_or(F.col("source") == "template").alias("fell"), F.max("attempt").alias("attempts"))
+    share = lambda c: F.count_if(c) / F.greatest(F.count("*"), F.lit(1))
+    return per.agg(F.count("*").alias("items"), share(F.col("first")).alias("first_pass"), share(~F.col("first") & ~F.col("fell")).alias("regenerated"), share(F.col("fell")).alias("fallback"), F.max("attempts").alias("most_attempts"))

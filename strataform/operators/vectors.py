@@ -151,6 +151,20 @@ def mask_shape(runs: DataFrame, key: list[str], width: str) -> DataFrame:
     )
 
 
+def mask_thirds(runs: DataFrame, key: list[str], width: str) -> DataFrame:
+    """(key, third, area): the mask's area in three bands of equal height of its vertical extent, the cuts rounded half to even."""
+    first = F.floor((F.col("start") - 1) / F.col(width))
+    last = F.floor((F.col("start") + F.col("length") - 2) / F.col(width))
+    rows = runs.filter("length > 0").withColumn("row", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
+    n = F.least(F.col("start") + F.col("length") - 1, (F.col("row") + 1) * F.col(width)) - F.greatest(F.col("start") - 1, F.col("row") * F.col(width))
+    per_row = rows.withColumn("n", n).groupBy(*key, "row").agg(F.sum("n").alias("n"))
+    extent = per_row.groupBy(*key).agg(F.min("row").alias("top"), (F.max("row") + 1).alias("bottom"))
+    j = per_row.join(extent, key)
+    cut_at = lambda k: F.bround(F.col("top") + (F.col("bottom") - F.col("top")) * k / 3)
+    third = F.when(F.col("row") < cut_at(1), "upper").when(F.col("row") < cut_at(2), "middle").otherwise("lower")
+    return j.groupBy(*key, third.alias("third")).agg(F.sum("n").alias("area"))
+
+
 def canvas(x: Column, y: Column, width: Column, height: Column, size: int, letterbox: bool) -> list[Column]:
     """Position on a square canvas of that size: stretched, or scaled by the longer side and padded to the middle."""
     if not letterbox:

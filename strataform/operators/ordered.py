@@ -81,3 +81,16 @@ def nearest_index_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     at = F.least(F.col("_t") - 1, F.floor(F.lit(q) * F.col("_t")))
     hit = ranked.crossJoin(F.broadcast(total)).filter((F.col("before__n") <= at) & (at < F.col("before__n") + F.col("_n")))
     return hit.select(F.lit(q).alias("q"), F.col("_v").alias("value"))
+
+
+def pick_without_reuse(df: DataFrame, key: str, categories: list[tuple[str, Column]]) -> DataFrame:
+    """(category, key): for each category in order, the smallest key that matches it and wasn't taken before; a few rows."""
+    taken: list = []
+    for name, condition in categories:
+        free = df.filter(condition)
+        for _, k in taken:
+            free = free.filter(F.col(key) != F.lit(k))
+        first = free.agg(F.min(key)).first()[0]
+        if first is not None:
+            taken.append((name, first))
+    return df.sparkSession.createDataFrame(taken, f"category string, `{key}` {df.schema[key].dataType.simpleString()}")

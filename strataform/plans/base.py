@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.functions.hashing import hash_bucket, unit_hash
 from strataform.runtime import table
 
+
+def collector() -> tuple[dict, dict[str, str], Callable]:
+    """A module's queries and their SQL by name, and the decorator that fills them."""
+    queries: dict = {}
+    sqls: dict[str, str] = {}
+
+    def query(sql: str | None = None) -> Callable:
+        def add(f: Callable) -> Callable:
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
+
+        return add
+
+    return queries, sqls, query
+
+
 # The is_a links of the findings, in their declared order.
 IS_A = [
     ("atelectasis", "lung_opacity"),

@@ -7,24 +7,13 @@ from pyspark.sql import functions as F
 
 from strataform.functions.hashing import hash_bucket
 from strataform.operators import metrics, model, vectors
-from strataform.plans.base import SCORES_SQL, scores
+from strataform.plans.base import SCORES_SQL, collector, scores
 from strataform.plans.queries_decide import BANDS_SQL, banded
 from strataform.plans.queries_fusion import features
 from strataform.plans.queries_vectors import _E, _L, _NN, _RLE, embeddings, masks, neighbour_labels, neighbours
 from strataform.runtime import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE_SQL, query = collector()
 
 
 @query(f"""WITH {_NN.format(k=5)}, {_L}, c AS (SELECT query, count(*) FILTER (WHERE label = 1) AS pos, count(label) AS known FROM nn LEFT JOIN l USING (neighbour) GROUP BY query), j AS (SELECT pos, known, o.label FROM c JOIN l o ON o.neighbour = query WHERE o.label IS NOT NULL AND known > 0)

@@ -6,25 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.operators import decide, metrics, ontology
-from strataform.plans.base import CLOSURE_SQL, IS_A, LINKS_SQL, ROOT, SCORES_SQL, links, scores
+from strataform.plans.base import CLOSURE_SQL, IS_A, LINKS_SQL, ROOT, SCORES_SQL, collector, links, scores
 from strataform.plans.queries_metrics import _CURVE_SQL
 from strataform.runtime import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES, ORACLE_SQL, query = collector()
 CRITICAL = ["pneumothorax", "pleural_effusion"]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def banded(spark: SparkSession, d: str) -> DataFrame:
     """entity, node, p, y, band with fixed thresholds; the root has no present or possible tier."""
     root = F.col("node") == ROOT

@@ -7,21 +7,10 @@ from pyspark.sql import functions as F
 
 from strataform.functions.hashing import hash_bucket
 from strataform.operators import fusion, model
-from strataform.plans.base import HITS_SQL, SCORES_SQL, hits, scores
+from strataform.plans.base import HITS_SQL, SCORES_SQL, collector, hits, scores
 from strataform.runtime import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE_SQL, query = collector()
 
 
 def tagged(spark: SparkSession, d: str) -> DataFrame:

@@ -6,21 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.operators import metrics
-from strataform.plans.base import SCORES_SQL, SUBJECTS_SQL, scores, subjects
+from strataform.plans.base import SCORES_SQL, SUBJECTS_SQL, collector, scores, subjects
 from strataform.runtime import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE_SQL, query = collector()
 
 
 _AUROC_SQL = """SELECT {g}, round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0), 6) AS auroc FROM (

@@ -6,22 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.operators import ontology
-from strataform.plans.base import CLOSURE_SQL, CODES_SQL, IS_A, LINKS_SQL, SCORES_SQL, codes, links, scores
+from strataform.plans.base import CLOSURE_SQL, CODES_SQL, IS_A, LINKS_SQL, SCORES_SQL, codes, collector, links, scores
 from strataform.plans.queries_hierarchy import class_id
 from strataform.runtime import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE_SQL, query = collector()
 
 
 @query(f"WITH RECURSIVE {CLOSURE_SQL} SELECT ancestor, descendant, min(distance)::INT AS distance FROM closure GROUP BY ancestor, descendant")

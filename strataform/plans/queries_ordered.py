@@ -7,21 +7,10 @@ from pyspark.sql import functions as F
 
 from strataform.functions.hashing import hex_number
 from strataform.operators import metrics, ordered
-from strataform.plans.base import SCORES_SQL, scores
+from strataform.plans.base import SCORES_SQL, collector, scores
 from strataform.runtime import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE_SQL, query = collector()
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY

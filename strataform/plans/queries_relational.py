@@ -9,21 +9,10 @@ from strataform.functions.hashing import hash_bucket, split_rule, unit_hash
 from strataform.functions.names import capitalised, one_space, snake_value, templated_path
 from strataform.functions.numeric import fractional_iou, one_hot, overlap_1d, two_prompt_softmax, zscore_impute
 from strataform.operators import contracts, relational
-from strataform.plans.base import BUCKET_SQL, UNIT_SQL
+from strataform.plans.base import BUCKET_SQL, UNIT_SQL, collector
 from strataform.runtime import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE_SQL, query = collector()
 
 
 @query("SELECT o_orderkey, c_name, c_mktsegment, o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")

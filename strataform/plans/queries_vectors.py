@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 from strataform.functions.hashing import hash_bucket
 from strataform.functions.numeric import dot, l2_normalise, weighted_mean
 from strataform.operators import vectors
+from strataform.plans.base import collector
 from strataform.runtime import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE_SQL, query = collector()
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:

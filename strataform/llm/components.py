@@ -113,12 +113,13 @@ def broken_members(df: DataFrame, keys: list[str], given: str) -> DataFrame:
     nothing; null values of given are ignored. Rows without any key can't break a group. Repeated rows change nothing.
     Returns one column, keys[0], without nulls.
     """
-    keyed = _keyed(df.select(*keys, given), keys)
-    labels = linked(keyed, keys)
-    seen = keyed.filter(F.col("_anchor").isNotNull() & F.col(given).isNotNull()).groupBy("_anchor", given).agg(F.lit(1).alias("one"))
-    spans = label_anchors(seen, labels).groupBy("label").agg(F.min(given).alias("lo"), F.max(given).alias("hi")).filter("lo <> hi").select("label")
-    members = keyed.filter(F.col(keys[0]).isNotNull()).groupBy(F.col("_k0").alias("_anchor"), keys[0]).agg(F.lit(1).alias("one"))
-    return label_anchors(members, labels).join(spans, "label", "left_semi").select(keys[0])
+    own = [f"_v{i}" for i in range(len(keys))]  # names that can't clash with those used below
+    keyed = _keyed(df.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(given).alias("_given")), own)
+    labels = linked(keyed, own)
+    seen = keyed.filter(F.col("_anchor").isNotNull() & F.col("_given").isNotNull()).groupBy("_anchor", "_given").agg(F.lit(1).alias("one"))
+    spans = label_anchors(seen, labels).groupBy("label").agg(F.min("_given").alias("lo"), F.max("_given").alias("hi")).filter("lo <> hi").select("label")
+    members = keyed.filter(F.col(own[0]).isNotNull()).groupBy(F.col("_k0").alias("_anchor"), own[0]).agg(F.lit(1).alias("one"))
+    return label_anchors(members, labels).join(spans, "label", "left_semi").select(F.col(own[0]).alias(keys[0]))
 
 
 def grouped_splits(df: DataFrame, keys: list[str], row_id: str, shares: dict[str, float]) -> DataFrame:

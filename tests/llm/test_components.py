@@ -63,6 +63,8 @@ def test_broken_members(spark):
     want = {a for a, *_ in data if a is not None and len(seen.get(root["s", a], ())) > 1}
     got = [x.subject for x in broken_members(spark.createDataFrame(data, SCHEMA), ["subject", "study"], "given").collect()]
     assert sorted(got) == sorted(want)
+    clash = spark.createDataFrame([(a, b, g, k, l, s) for a, b, g, k, l, s in data], SCHEMA.replace("label", "x").replace("given", "label"))
+    assert sorted(x.subject for x in broken_members(clash, ["subject", "study"], "label").collect()) == sorted(want)
     assert broken_members(spark.createDataFrame([], SCHEMA), ["subject", "study"], "given").count() == 0
 
 

@@ -98,11 +98,11 @@ def box_coverage(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("cell_x", "cell_y").agg(F.round(F.sum("share"), 4).alias("share"))
 
 
-_RLE = """r AS (SELECT user_id AS id, 100 + user_id % 50 AS width, list(event_id % 40 * 97 + 1 ORDER BY event_id) AS s, list(1 + event_id % 60 ORDER BY event_id) AS l FROM (SELECT user_id, event_id FROM events WHERE event_id % 400 = 0) GROUP BY user_id)"""
+_RLE = """r AS (SELECT user_id AS id, 100 + user_id % 50 AS width, list(event_id % 40 * 97 + 1 ORDER BY event_id) AS s, list(1 + event_id % 60 ORDER BY event_id) AS l FROM events GROUP BY user_id)"""
 
 
 def masks(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("event_id % 400 = 0").select("user_id", "event_id")
+    e = table(spark, d, "events").select("user_id", "event_id")
     pair = F.struct("event_id", F.concat_ws(" ", (F.col("event_id") % 40 * 97 + 1).cast("string"), (1 + F.col("event_id") % 60).cast("string")).alias("t"))
     return e.groupBy(F.col("user_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["t"]), " ").alias("rle")).withColumn("width", 100 + F.col("id") % 50)
 

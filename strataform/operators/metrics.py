@@ -14,6 +14,8 @@ from strataform.functions.numeric import width_bin
 from strataform.operators.ordered import running_before
 
 MIN_HITS = 10
+#: Ranges of the score in which a bootstrap folds its rows.
+BOOT_RANGES = 32
 #: Cumulative probabilities of a Poisson variable of mean 1, by which a hash becomes a bootstrap weight.
 POISSON_1 = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 
@@ -101,9 +103,13 @@ def absent_threshold(curve: DataFrame, group: list[str], npv: float | None = Non
     return ok.groupBy(*group).agg(F.max("p").alias("thr"))
 
 
-def poisson_weight(replicate: Column, cluster: Column) -> Column:
-    """Bootstrap weight of a cluster in a replicate: a Poisson(1) number from a hash, the same on every engine."""
-    u = hex_number(F.concat(F.lit("boot:"), replicate.cast("string"), F.lit(":"), cluster.cast("string")), 15) / F.lit(float(16**15))
+def poisson_unit(replicate: Column, cluster: Column) -> Column:
+    """A double in [0, 1) for a cluster in a replicate, the same on every engine."""
+    return hex_number(F.concat(F.lit("boot:"), replicate.cast("string"), F.lit(":"), cluster.cast("string")), 15) / F.lit(float(16**15))
+
+
+def poisson_step(u: Column) -> Column:
+    """Bootstrap weight of a cluster: the Poisson(1) number at that cumulative probability."""
     out = F.lit(6)
     for k in range(len(POISSON_1) - 1, -1, -1):
         out = F.when(u < POISSON_1[k], k).otherwise(out)
@@ -111,10 +117,45 @@ def poisson_weight(replicate: Column, cluster: Column) -> Column:
 
 
 def bootstrap_auroc(df: DataFrame, group: list[str], cluster: str, replicates: int, score: str = "p") -> DataFrame:
-    """group, replicate, auroc with whole clusters drawn; rows are first counted by cluster and value."""
-    known = df.filter(f"y is not null and {score} is not null").groupBy(*group, cluster, F.col(score).alias("p"), "y").agg(F.count("*").alias("n"))
-    drawn = known.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_weight(F.col("replicate"), F.col(cluster)))
-    return auroc(drawn.filter("w > 0"), [*group, "replicate"], F.col("w") * F.col("n"))
+    """group, replicate, auroc with whole clusters drawn; auroc is null without both classes.
+
+    Rows are first counted by cluster and value, and a cluster's weights are drawn once, as one array of all replicates.
+    Scores are cut into BOOT_RANGES ranges of their group; every range is folded once a replicate where it lies, so only
+    sums of ranges, and never rows times replicates, are shuffled.
+    """
+    known = df.filter(f"y is not null and {score} is not null and not isnan({score})").groupBy(*group, F.col(cluster).alias("_c"), F.col(score).alias("p"), "y").agg(F.count("*").alias("n"))
+    span = known.groupBy(*group).agg(F.min("p").alias("_lo"), F.max("p").alias("_hi"))
+    v = known.join(span, group) if group else known.crossJoin(F.broadcast(span))  # one row a group
+    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("p") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    v = v.withColumn("_range", F.least(F.floor(width * BOOT_RANGES), F.lit(BOOT_RANGES - 1)).cast("int"))
+    unit = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: poisson_unit(r, F.col("_c")))
+    weights = known.select("_c").distinct().select("_c", F.transform(unit, lambda u: poisson_step(u).cast("tinyint")).alias("w"))
+    lists = v.join(weights, "_c").groupBy(*group, "_range").agg(F.array_sort(F.collect_list(F.struct("p", "y", "n", "w"))).alias("rows"))
+
+    def step(r: Column):
+        def add(a: Column, e: Column) -> Column:  # by value, negatives first: before holds those of smaller values
+            w = F.get(e["w"], r) * e["n"]
+            before = F.when(e["p"] == a["p"], a["before"]).otherwise(a["neg"])
+            return F.when(e["y"] == 1, F.struct(e["p"].alias("p"), (a["pos"] + w).alias("pos"), a["neg"].alias("neg"), before.alias("before"), (a["u"] + w * (before + a["neg"]) / 2).alias("u"))).otherwise(
+                F.struct(e["p"].alias("p"), a["pos"].alias("pos"), (a["neg"] + w).alias("neg"), before.alias("before"), a["u"].alias("u"))
+            )
+
+        zero = F.lit(0).cast("bigint")
+        start = F.struct(F.lit(float("-inf")).alias("p"), zero.alias("pos"), zero.alias("neg"), zero.alias("before"), F.lit(0.0).alias("u"))
+        return F.aggregate("rows", start, add)
+
+    sums = lists.select(*group, "_range", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), step)).alias("replicate", "s"))
+    w = Window.partitionBy(*group, "replicate").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    s = sums.select(*group, "replicate", "_range", "s.pos", "s.neg", "s.u").withColumn("before", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    out = s.groupBy(*group, "replicate").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("u") + F.col("pos") * F.col("before")).alias("u"))
+    return out.select(*group, "replicate", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"))
+
+
+def paired_differences(replicates: DataFrame, name: str, value: str) -> DataFrame:
+    """replicate, left, right, diff: left minus right for every pair of names, of which there are few, in each replicate."""
+    per = replicates.groupBy("replicate").agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col(value).alias("value")))).alias("a"))
+    pairs = F.flatten(F.transform("a", lambda x, i: F.transform(F.slice("a", i + 2, F.size("a")), lambda y: F.struct(x["name"].alias("left"), y["name"].alias("right"), (x["value"] - y["value"]).alias("diff")))))
+    return per.select("replicate", F.explode(pairs).alias("d")).select("replicate", "d.*")
 
 
 def interval(replicates: DataFrame, group: list[str], value: str, level: float = 0.95) -> DataFrame:

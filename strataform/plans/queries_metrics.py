@@ -88,8 +88,10 @@ def metrics_by_view(spark: SparkSession, d: str) -> DataFrame:
     return metrics.brier(s, ["view", "node"]).join(metrics.auroc(s, ["view", "node"]), ["view", "node"]).select("view", "node", "n", F.round("brier", 6).alias("brier"), F.round("auroc", 6).alias("auroc"))
 
 
+#: The reference's number of resamples.
+REPLICATES = 2000
 _W_SQL = " ".join(f"WHEN u < {x!r} THEN {i}" for i, x in enumerate(metrics.POISSON_1))
-_BOOT_SQL = f"""{SCORES_SQL}, {SUBJECTS_SQL}, reps AS (SELECT unnest(range(20))::INT AS replicate),
+_BOOT_SQL = f"""{SCORES_SQL}, {SUBJECTS_SQL}, reps AS (SELECT unnest(range({REPLICATES}))::INT AS replicate),
 w AS (SELECT subject, replicate, CASE {_W_SQL} ELSE 6 END AS w FROM (SELECT subject, replicate, ('0x' || substr(sha256('boot:' || replicate || ':' || subject), 1, 15))::BIGINT / pow(16, 15) AS u FROM (SELECT DISTINCT subject FROM subjects), reps)),
 v AS (SELECT node, replicate, p, sum(y * w) AS pos, sum((1 - y) * w) AS neg FROM scores JOIN subjects USING (entity) JOIN w USING (subject) WHERE y IS NOT NULL AND w > 0 GROUP BY ALL),
 b AS (SELECT *, sum(neg) OVER (PARTITION BY node, replicate ORDER BY p) - neg AS before FROM v),
@@ -99,18 +101,17 @@ boot AS (SELECT node, replicate, sum(pos * (before + neg / 2)) / nullif(sum(pos)
 @query(f"WITH {_BOOT_SQL} SELECT node, round(avg(auroc), 6) AS mean, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high FROM boot GROUP BY node")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     s = scores(spark, d).join(subjects(spark, d), "entity")
-    i = metrics.interval(metrics.bootstrap_auroc(s, ["node"], "subject", 20), ["node"], "auroc")
+    i = metrics.interval(metrics.bootstrap_auroc(s, ["node"], "subject", REPLICATES), ["node"], "auroc")
     return i.select("node", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
-@query(f"""WITH {_BOOT_SQL}, p AS (SELECT replicate, a.auroc - b.auroc AS diff FROM boot a JOIN boot b USING (replicate) WHERE a.node = 'edema' AND b.node = 'pneumonia')
-SELECT round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high, quantile_cont(diff, 0.025) > 0 OR quantile_cont(diff, 0.975) < 0 AS excludes_zero, quantile_cont(diff, 0.025) > -0.02 AS non_inferior FROM p""")
+@query(f"""WITH {_BOOT_SQL}, p AS (SELECT replicate, a.node AS "left", b.node AS "right", a.auroc - b.auroc AS diff FROM boot a JOIN boot b USING (replicate) WHERE a.node < b.node)
+SELECT "left", "right", round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high, quantile_cont(diff, 0.025) > 0 OR quantile_cont(diff, 0.975) < 0 AS excludes_zero, quantile_cont(diff, 0.025) > -0.02 AS non_inferior FROM p GROUP BY ALL""")
 def paired_difference(spark: SparkSession, d: str) -> DataFrame:
-    s = scores(spark, d).filter("node in ('edema', 'pneumonia')").join(subjects(spark, d), "entity")
-    b = metrics.bootstrap_auroc(s, ["node"], "subject", 20)
-    wide = b.groupBy("replicate").pivot("node", ["edema", "pneumonia"]).agg(F.first("auroc")).withColumn("diff", F.col("edema") - F.col("pneumonia"))
-    i = metrics.non_inferior(metrics.interval(wide, [], "diff"), 0.02)
-    return i.select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "excludes_zero", "non_inferior")
+    s = scores(spark, d).join(subjects(spark, d), "entity")
+    b = metrics.paired_differences(metrics.bootstrap_auroc(s, ["node"], "subject", REPLICATES), "node", "auroc")
+    i = metrics.non_inferior(metrics.interval(b, ["left", "right"], "diff"), 0.02)
+    return i.select("left", "right", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "excludes_zero", "non_inferior")
 
 
 @query(f"""WITH {SCORES_SQL}, t AS (SELECT entity, node FROM scores WHERE y = 1), c AS (SELECT entity, node FROM scores WHERE p >= 0.6),

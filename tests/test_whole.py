@@ -1,5 +1,6 @@
 """Queries cover the whole of their input: counts and brute force that a cut would change."""
 
+import hashlib
 import os
 
 import pytest
@@ -27,3 +28,29 @@ def test_masks_have_all_events(spark):
     for r in QUERIES["mask_thirds"](spark, SF).collect():
         thirds[r.id] = thirds.get(r.id, 0) + r.area
     assert thirds == areas
+
+
+def test_bootstrap_has_all_replicates_and_pairs(spark):
+    from strataform.operators import metrics
+    from strataform.plans.base import scores, subjects
+    from strataform.plans.queries_metrics import REPLICATES
+
+    s = scores(spark, SF).join(subjects(spark, SF), "entity").filter("y is not null")
+    got = {(r.node, r.replicate): r.auroc for r in metrics.bootstrap_auroc(s, ["node"], "subject", REPLICATES).collect()}
+    assert {r for _, r in got} == set(range(2000))
+
+    def weight(replicate, subject):
+        u = int(hashlib.sha256(f"boot:{replicate}:{subject}".encode()).hexdigest()[:15], 16) / 16.0**15
+        return next((k for k, edge in enumerate(metrics.POISSON_1) if u < edge), 6)
+
+    rows = s.collect()
+    for node in {r.node for r in rows}:
+        mine = [r for r in rows if r.node == node]
+        for replicate in (0, 19, 1999):
+            w = {r.subject: weight(replicate, r.subject) for r in mine}
+            pairs = [(w[a.subject] * w[b.subject], (a.p > b.p) + (a.p == b.p) / 2) for a in mine if a.y == 1 for b in mine if b.y == 0]
+            total = sum(k for k, _ in pairs)
+            assert got[node, replicate] == (pytest.approx(sum(k * v for k, v in pairs) / total) if total else None)
+    names = sorted({r.node for r in rows})
+    found = sorted((r.left, r.right) for r in QUERIES["paired_difference"](spark, SF).collect())
+    assert found == [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]

@@ -15,6 +15,7 @@ from strataform.functions.hashing import hash_bucket
 from strataform.functions.numeric import zscore_impute
 from strataform.operators.contracts import ContractError
 from strataform.operators.metrics import auroc
+from strataform.runtime import cut
 
 GRID = (0.01, 0.1, 1.0, 10.0)
 
@@ -106,19 +107,26 @@ def cross_fit(df: DataFrame, features: list[str], label: str, cluster: str, fit_
     return df.withColumn("oof", F.when(fit_on, own).otherwise(sum((m.score() for m in models), F.lit(0.0)) / folds))
 
 
-def isotonic(df: DataFrame, score: str, label: str, least: int = 20) -> DataFrame:
-    """df with calibrated: an isotonic map of the score, or the base rate under least labelled rows."""
-    known = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
-    n, rate = known.agg(F.count("*"), F.avg(F.col(label).cast("double"))).first()
-    if n < least:
-        return df.withColumn("calibrated", F.lit(rate))
-    m = IsotonicRegression(featuresCol=score, labelCol="_y").fit(known.withColumn("_y", F.col(label).cast("double")).withColumn(score, F.col(score).cast("double")))
-    xs, ys = [float(x) for x in m.boundaries], [float(y) for y in m.predictions]
-    out = F.lit(ys[-1])
-    for i in range(len(xs) - 1, 0, -1):
-        share = (F.col(score) - xs[i - 1]) / (xs[i] - xs[i - 1]) if xs[i] > xs[i - 1] else F.lit(0.0)
-        out = F.when(F.col(score) < xs[i], ys[i - 1] + share * (ys[i] - ys[i - 1])).otherwise(out)
-    return df.withColumn("calibrated", F.when(F.col(score).isNotNull(), F.when(F.col(score) <= xs[0], ys[0]).otherwise(out)))
+def isotonic(df: DataFrame, group: str, score: str, label: str, least: int = 20) -> DataFrame:
+    """df with calibrated: an isotonic map of the score for each group, or its base rate under least labelled rows.
+
+    Groups are fitted one by one, so there should be few; their maps are broadcast, one row a group.
+    """
+    known = cut(df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).select(group, F.col(score).cast("double").alias("_x"), F.col(label).cast("double").alias("_y")))
+    maps = []
+    for g, n, rate in known.groupBy(group).agg(F.count("*"), F.avg("_y")).collect():
+        if n < least:
+            maps.append((g, None, [rate]))
+            continue
+        m = IsotonicRegression(featuresCol="_x", labelCol="_y").fit(known.filter(F.col(group).eqNullSafe(F.lit(g))))
+        maps.append((g, [float(x) for x in m.boundaries], [float(y) for y in m.predictions]))
+    kind = df.schema[group].dataType.simpleString()
+    on = df.join(F.broadcast(df.sparkSession.createDataFrame(maps, f"_g {kind}, _xs array<double>, _ys array<double>")), F.col(group).eqNullSafe(F.col("_g")), "left")
+    s, xs, ys = F.col(score), F.col("_xs"), F.col("_ys")
+    i = F.size(F.filter(xs, lambda x: x <= s))  # knots at or below the score
+    x0, x1, y0, y1 = F.get(xs, i - 1), F.get(xs, i), F.get(ys, i - 1), F.get(ys, i)
+    inside = F.when(i == 0, F.get(ys, F.lit(0))).when(i == F.size(xs), y0).otherwise(y0 + (s - x0) / (x1 - x0) * (y1 - y0))
+    return on.withColumn("calibrated", F.when(xs.isNull(), F.get(ys, F.lit(0))).when(s.isNotNull(), inside)).drop("_g", "_xs", "_ys")
 
 
 def masked_weights(df: DataFrame, groups: list[str], label: str) -> DataFrame:

@@ -91,7 +91,7 @@ def standardised_features(spark: SparkSession, d: str) -> DataFrame:
 def logistic_fit(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients of the model of the best penalty and its score of every study, calibrated on the rest."""
     f = model.standardise(features(spark, d), ["top", "mean", "n"], F.col("fit"))
-    m, c = model.fit_grid(f.filter("fit"), ["top", "mean", "n"], "y", "entity", (0.1, 1.0))
+    m, c = model.fit_grid(f.filter("fit"), ["top", "mean", "n"], "y", "entity")
     scored = f.withColumn("z", m.score())
     platt = model.fit_platt(scored.filter("not fit"), "z", "y")
     return scored.select("entity", "y", F.round("z", 4).alias("z"), F.round(1 / (1 + F.exp(-platt.score())), 4).alias("p"), F.lit(c).alias("c"))
@@ -105,7 +105,7 @@ def cross_fitted(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def isotonic_calibrated(spark: SparkSession, d: str) -> DataFrame:
-    return model.isotonic(scores(spark, d).filter("node = 'edema'"), "p", "y").select("entity", "p", "calibrated")
+    return model.isotonic(scores(spark, d), "node", "p", "y").select("entity", "node", "p", "calibrated")
 
 
 @query()

@@ -54,3 +54,39 @@ def test_bootstrap_has_all_replicates_and_pairs(spark):
     names = sorted({r.node for r in rows})
     found = sorted((r.left, r.right) for r in QUERIES["paired_difference"](spark, SF).collect())
     assert found == [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+
+
+def brute_isotonic(data):
+    """Level and weight of each pool of (p, y) by pooling adjacent violators, as [lowest p, highest p, mean y]."""
+    pools = []
+    for p in sorted({p for p, _ in data}):
+        ys = [y for q, y in data if q == p]
+        pools.append([p, p, sum(ys), len(ys)])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+            _, hi, y, n = pools.pop()
+            pools[-1] = [pools[-1][0], hi, pools[-1][2] + y, pools[-1][3] + n]
+    return [(lo, hi, y / n) for lo, hi, y, n in pools]
+
+
+def test_every_node_is_calibrated(spark):
+    from strataform.plans.base import scores
+
+    known = {}
+    for r in scores(spark, "/root/testdata/sf0.01").collect():
+        known.setdefault(r.node, []).append((r.entity, r.p, r.y))
+    got = {(r.entity, r.node): r.calibrated for r in QUERIES["isotonic_calibrated"](spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == {(e, n) for n, rows in known.items() for e, _, _ in rows} and len(known) > 1
+    for node, rows in known.items():
+        pools = brute_isotonic([(p, y) for _, p, y in rows if y is not None])
+        for e, p, y in rows:
+            if y is not None:
+                assert got[e, node] == pytest.approx(next(v for lo, hi, v in pools if lo <= p <= hi), abs=1e-9), (node, p)
+
+
+def test_logistic_fit_tries_the_whole_grid(spark, monkeypatch):
+    from strataform.operators import model
+
+    seen, fit = [], model.fit_logistic
+    monkeypatch.setattr(model, "fit_logistic", lambda df, features, label, c, *a: seen.append(c) or fit(df, features, label, c, *a))
+    QUERIES["logistic_fit"](spark, SF)
+    assert set(model.GRID) <= set(seen) and model.GRID == (0.01, 0.1, 1.0, 10.0)

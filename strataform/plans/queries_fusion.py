@@ -130,7 +130,7 @@ def masked_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def file_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """Name, length and SHA-256 of the small tables' files."""
+    """Name, length and SHA-256 of every file of the directory."""
     from strataform.sources.files import file_hashes
 
-    return file_hashes(spark, d, "*ion.parquet")
+    return file_hashes(spark, d)

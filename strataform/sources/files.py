@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import csv
+import hashlib
 import io
 import json
 import zipfile
@@ -11,11 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.operators.contracts import require_columns
 
+#: Bytes of a file that are held at once while it is hashed.
+CHUNK = 1 << 22
+
 
 def delimited(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, separator: str = ",") -> DataFrame:
     """CSV or TSV (gzip too) with a header and a stated schema; only the named columns are parsed."""
@@ -62,9 +67,23 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(name, length, sha256) of every file."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return f.select(F.substring_index("path", "/", -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    """(name, length, sha256) of every file, by its name below path; each is read in chunks where it is hashed, on a shared path or by a URI."""
+    root = F.concat(F.substring_index(F.lit(path.rstrip("/")), ":", -1), F.lit("/"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            hashes = []
+            for p in t.path:
+                system, at = (fs.LocalFileSystem(), "/" + p[5:].lstrip("/")) if p.startswith("file:") else fs.FileSystem.from_uri(p)
+                h = hashlib.sha256()
+                with system.open_input_stream(at) as f:
+                    while chunk := f.read(CHUNK):
+                        h.update(chunk)
+                hashes.append(h.hexdigest())
+            yield pd.DataFrame({"name": t.name_, "length": t.length, "sha256": hashes})
+
+    found = listing(spark, path, glob).select("path", F.element_at(F.split("path", F.concat(F.lit("\\Q"), root, F.lit("\\E"))), -1).alias("name_"), "length")
+    return found.mapInPandas(run, "name string, length bigint, sha256 string")
 
 
 def _zips(spark: SparkSession, path: str) -> DataFrame:

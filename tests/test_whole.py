@@ -90,3 +90,10 @@ def test_logistic_fit_tries_the_whole_grid(spark, monkeypatch):
     monkeypatch.setattr(model, "fit_logistic", lambda df, features, label, c, *a: seen.append(c) or fit(df, features, label, c, *a))
     QUERIES["logistic_fit"](spark, SF)
     assert set(model.GRID) <= set(seen) and model.GRID == (0.01, 0.1, 1.0, 10.0)
+
+
+def test_manifest_has_every_file(spark):
+    from pathlib import Path
+
+    want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(SF).iterdir()}
+    assert {r.name: (r.length, r.sha256) for r in QUERIES["file_manifest"](spark, SF).collect()} == want and len(want) > 2

@@ -25,11 +25,27 @@ def checked_unit(df: DataFrame, vector: str, tolerance: float = 1e-3) -> DataFra
     return df
 
 
+def blocks(rows: DataFrame) -> Iterator[list]:
+    """Rows on the driver, at most BLOCK at a time."""
+    block: list = []
+    for row in rows.toLocalIterator():
+        block.append(row)
+        if len(block) == BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def cosine_scores(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str) -> DataFrame:
-    """Cosine of every row of left with every row of right, a small fixed bank that is broadcast."""
+    """Cosine of every row of left with every row of right, which is taken in blocks of at most BLOCK rows, each broadcast once."""
     a = left.select(left_id, l2_normalise(F.col(vector)).alias("_a"))
     b = right.select(right_id, l2_normalise(F.col(vector)).alias("_b"))
-    return a.crossJoin(F.broadcast(b)).select(left_id, right_id, dot(F.col("_a"), F.col("_b")).alias("similarity"))
+    found = None
+    for block in blocks(b):
+        one = a.crossJoin(F.broadcast(left.sparkSession.createDataFrame(block, b.schema))).select(left_id, right_id, dot(F.col("_a"), F.col("_b")).alias("similarity"))
+        found = one if found is None else found.unionByName(one)
+    return a.crossJoin(b).select(left_id, right_id, dot(F.col("_a"), F.col("_b")).alias("similarity")).filter("false") if found is None else found
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, key: str, group: str, vector: str, k: int, floor: float | None = None, decimals: int = 6) -> DataFrame:

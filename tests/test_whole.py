@@ -3,6 +3,7 @@
 import hashlib
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,14 @@ def test_manifest_has_every_file(spark):
 
     want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(SF).iterdir()}
     assert {r.name: (r.length, r.sha256) for r in QUERIES["file_manifest"](spark, SF).collect()} == want and len(want) > 2
+
+
+def test_cosine_scores_have_the_stated_set_in_blocks(spark, monkeypatch):
+    from strataform.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    e = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = {(r.left_id, r.right_id): r.similarity for r in QUERIES["cosine_scores"](spark, SF).collect()}
+    right = [k for k in e if k % 50 == 0]
+    assert len(right) > 8 and got.keys() == {(a, b) for a in e for b in right}
+    assert all(v == pytest.approx(e[a] @ e[b] / np.linalg.norm(e[a]) / np.linalg.norm(e[b]), abs=2e-6) for (a, b), v in got.items())

@@ -49,9 +49,9 @@ def neighbour_labels(spark: SparkSession, d: str) -> DataFrame:
     return embeddings(spark, d).select(F.col("vec_id").alias("neighbour"), F.when(known, F.col("label").cast("int") % 2).alias("label"))
 
 
-@query(f"WITH {_NN.format(k=10)}, {_L} SELECT query, k, round(avg(label), 6) AS fraction, count(label) AS n_known, round(avg(similarity), 6) AS mean_similarity FROM nn LEFT JOIN l USING (neighbour), (VALUES (5), (10)) t(k) WHERE rank <= k GROUP BY query, k")
+@query(f"WITH {_NN.format(k=25)}, {_L} SELECT query, k, round(avg(label), 6) AS fraction, count(label) AS n_known, round(avg(similarity), 6) AS mean_similarity FROM nn LEFT JOIN l USING (neighbour), (VALUES (5), (10), (25)) t(k) WHERE rank <= k GROUP BY query, k")
 def knn_label_fraction(spark: SparkSession, d: str) -> DataFrame:
-    f = vectors.neighbour_features(neighbours(spark, d, 10), neighbour_labels(spark, d), [5, 10])
+    f = vectors.neighbour_features(neighbours(spark, d, 25), neighbour_labels(spark, d), [5, 10, 25])
     return f.select("query", "k", F.round("fraction", 6).alias("fraction"), "n_known", F.round("mean_similarity", 6).alias("mean_similarity"))
 
 

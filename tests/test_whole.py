@@ -109,3 +109,8 @@ def test_cosine_scores_have_the_stated_set_in_blocks(spark, monkeypatch):
     right = [k for k in e if k % 50 == 0]
     assert len(right) > 8 and got.keys() == {(a, b) for a in e for b in right}
     assert all(v == pytest.approx(e[a] @ e[b] / np.linalg.norm(e[a]) / np.linalg.norm(e[b]), abs=2e-6) for (a, b), v in got.items())
+
+
+def test_fractions_of_25_neighbours(spark):
+    n = {(r["query"], r.k): r.n for r in QUERIES["knn_label_fraction"](spark, SF).select("query", "k", (F.col("n_known") <= F.col("k")).alias("n")).collect()}
+    assert {k for _, k in n} == {5, 10, 25} and len(n) == 3 * len({q for q, _ in n}) and all(n.values())

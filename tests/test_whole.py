@@ -114,3 +114,12 @@ def test_cosine_scores_have_the_stated_set_in_blocks(spark, monkeypatch):
 def test_fractions_of_25_neighbours(spark):
     n = {(r["query"], r.k): r.n for r in QUERIES["knn_label_fraction"](spark, SF).select("query", "k", (F.col("n_known") <= F.col("k")).alias("n")).collect()}
     assert {k for _, k in n} == {5, 10, 25} and len(n) == 3 * len({q for q, _ in n}) and all(n.values())
+
+
+def test_texts_have_the_whole_bank(spark):
+    bank = spark.read.parquet(f"{SF}/concept_bank.parquet")
+    pairs = bank.select(F.col("concept_id") % 300, "canonical_finding").distinct().count()
+    assert QUERIES["render_template"](spark, SF).select(F.sum(F.size(F.split("text", r"\.")) - 1)).first()[0] == pairs
+    faults = {r.fault: (r.flagged, r.statements) for r in QUERIES["corruption_detected"](spark, SF).collect()}
+    assert faults["drop"] == faults["negate"] == (pairs, pairs) and faults["add_side"][0] == faults["add_side"][1]
+    assert {"omitted", "polarity", "side", "added"} <= {r.kind for r in QUERIES["claim_compare"](spark, SF).collect()}

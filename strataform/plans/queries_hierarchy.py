@@ -79,9 +79,10 @@ walk(rel_type, rid, root, path) AS (
 SELECT rel_type, rid, root, CAST(len(path) - 1 AS INT) AS depth, array_to_string(path, '>') AS path FROM best WHERE n = 1
 """,
     "p2_descendants": f"""
-WITH RECURSIVE {LINKS_SQL}, down(rel_type, a, d, n) AS (
+WITH RECURSIVE {LINKS_SQL}, down(rel_type, a, d, n) USING KEY (rel_type, a, d) AS (
   SELECT rel_type, parent, child, 1 FROM links
-  UNION SELECT down.rel_type, down.a, l.child, down.n + 1 FROM down JOIN links l ON l.rel_type = down.rel_type AND l.parent = down.d WHERE down.n < 120
+  UNION SELECT w.rel_type, w.a, l.child, min(w.n) + 1 FROM down w JOIN links l ON l.rel_type = w.rel_type AND l.parent = w.d
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.down v WHERE v.rel_type = w.rel_type AND v.a = w.a AND v.d = l.child) GROUP BY ALL
 )
 SELECT rel_type, a AS rid, d AS descendant, CAST(min(n) AS INT) AS distance FROM down GROUP BY rel_type, a, d
 """,

@@ -3,6 +3,7 @@
 import hashlib
 import os
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,15 @@ def test_texts_have_the_whole_bank(spark):
     faults = {r.fault: (r.flagged, r.statements) for r in QUERIES["corruption_detected"](spark, SF).collect()}
     assert faults["drop"] == faults["negate"] == (pairs, pairs) and faults["add_side"][0] == faults["add_side"][1]
     assert {"omitted", "polarity", "side", "added"} <= {r.kind for r in QUERIES["claim_compare"](spark, SF).collect()}
+
+
+def test_descendants_sql_goes_deeper_than_120():
+    from strataform.plans.queries_hierarchy import ORACLE_SQL
+
+    c = duckdb.connect()
+    c.execute("create table radlex_classes as select 'RID' || i as rid, ['RID' || (i - 1)] as is_a_parents, []::varchar[] as part_of from range(1, 200) t(i)")
+    c.execute("insert into radlex_classes values ('RID150', ['RID151'], [])")
+    c.execute("create table raw_classes as select rid, is_a_parents from radlex_classes where false")
+    below = {(r[1], r[2]): r[3] for r in c.execute(ORACLE_SQL["p2_descendants"]).fetchall()}
+    up = {(a, b) for b in range(200) for a in range(b)} | {(151, b) for b in (150, 151)} | {(150, 150)}
+    assert below.keys() == {(f"RID{a}", f"RID{b}") for a, b in up} and below["RID0", "RID199"] == 199 and below["RID150", "RID150"] == 2

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataform.functions.hashing import hash_bucket
 from strataform.operators import fusion, model
 from strataform.plans.base import HITS_SQL, SCORES_SQL, collector, hits, scores
-from strataform.runtime import table
+from strataform.runtime import cut, table
 
 QUERIES, ORACLE_SQL, query = collector()
 
@@ -90,7 +90,7 @@ def standardised_features(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def logistic_fit(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients of the model of the best penalty and its score of every study, calibrated on the rest."""
-    f = model.standardise(features(spark, d), ["top", "mean", "n"], F.col("fit"))
+    f = cut(model.standardise(features(spark, d), ["top", "mean", "n"], F.col("fit")))  # read by every fit
     m, c = model.fit_grid(f.filter("fit"), ["top", "mean", "n"], "y", "entity")
     scored = f.withColumn("z", m.score())
     platt = model.fit_platt(scored.filter("not fit"), "z", "y")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataform.llm.encoding import judge_documents
+from strataform.llm.encoding import damaged_keys, judge_documents
 from strataform.runtime import table
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least one damaged stretch."""
-    return judge_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "source", keep_text=False).filter("damaged").select("doc_id")
+    return damaged_keys(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
 
 def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:

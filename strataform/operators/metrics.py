@@ -216,3 +216,29 @@ def attempt_summary(log: DataFrame) -> DataFrame:
     per = log.groupBy("item").agg(F.bool_or((F.col("attempt") == 1) & F.col("passed")).alias("first"), F.bool_or(F.col("source") == "template").alias("fell"), F.max("attempt").alias("attempts"))
     share = lambda c: F.count_if(c) / F.greatest(F.count("*"), F.lit(1))
     return per.agg(F.count("*").alias("items"), share(F.col("first")).alias("first_pass"), share(~F.col("first") & ~F.col("fell")).alias("regenerated"), share(F.col("fell")).alias("fallback"), F.max("attempts").alias("most_attempts"))
+
+
+def signed_difference(df: DataFrame, wanted: DataFrame, first: str, second: str) -> DataFrame:
+    """wanted's pairs (first, second) with diff, low and high of first less second, whichever order df holds them in.
+
+    Turning a pair round negates the difference and swaps the ends of its interval; a pair df doesn't hold gets nulls.
+    """
+    keys = [c for c in wanted.columns if c not in (first, second)]
+    straight = df.select(*keys, first, second, "diff", "low", "high")
+    turned = df.select(*keys, F.col(second).alias(first), F.col(first).alias(second), (-F.col("diff")).alias("diff"), (-F.col("high")).alias("low"), (-F.col("low")).alias("high"))
+    both = straight.withColumn("_turned", F.lit(0)).unionByName(turned.withColumn("_turned", F.lit(1)))
+    found = both.groupBy(*keys, first, second).agg(F.min(F.struct("_turned", "diff", "low", "high")).alias("_b"))
+    return wanted.join(found, [*keys, first, second], "left").select(*wanted.columns, F.col("_b.diff").alias("diff"), F.col("_b.low").alias("low"), F.col("_b.high").alias("high"))
+
+
+def keep_or_drop(df: DataFrame, part: str, metric: str, node: str, falling: list[str], whole: str = "MACRO") -> DataFrame:
+    """(part, keep, better, worse): whether a part of a model stays, by the intervals of with less without.
+
+    A difference is better or worse if its interval excludes 0, in the direction of its metric (falling: lower is better).
+    A part is dropped only if it is worse on the whole; better and worse list 'metric node', sorted.
+    """
+    up = ~F.col(metric).isin(falling)
+    good, bad = F.when(up, F.col("low") > 0).otherwise(F.col("high") < 0), F.when(up, F.col("high") < 0).otherwise(F.col("low") > 0)
+    name = F.concat_ws(" ", metric, node)
+    lists = df.groupBy(part).agg(F.array_sort(F.collect_set(F.when(good, name))).alias("better"), F.array_sort(F.collect_set(F.when(bad & (F.col(node) == whole), name))).alias("worse"))
+    return lists.select(part, (F.size("worse") == 0).alias("keep"), "better", "worse")

@@ -80,6 +80,65 @@ def fit_grid(df: DataFrame, features: list[str], label: str, key: str, grid: tup
     return fit_logistic(df, features, label, best_c), best_c
 
 
+def fit_groups(df: DataFrame, group: str, features: list[str], label: str, grid: tuple[float, ...] = GRID, most: int = 50) -> DataFrame:
+    """(group, c, n, intercept, weights, gradient): a logistic model of every group and penalty, all fitted together.
+
+    Newton steps need only sums over rows, so a step is one aggregation with one row a group and penalty, however large the
+    groups are; the features squared times groups times penalties must fit on the driver (groups are nodes of an ontology).
+    Rows with a null label or feature are left out. gradient is the largest derivative left; 0 up to rounding at the optimum.
+    A group whose labels are all equal gets the penalised optimum too.
+    """
+    import numpy as np
+
+    known = df.filter(F.col(label).isNotNull())
+    for f in features:
+        known = known.filter(F.col(f).isNotNull())
+    known = cut(known.select(F.col(group).alias("g"), F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x"), F.col(label).cast("double").alias("y")))
+    names = [r[0] for r in known.select("g").distinct().orderBy("g").collect()]
+    d = len(features) + 1
+    weights = {(g, c): np.zeros(d) for g in names for c in grid}
+    out = {}
+    kind = known.schema["g"].dataType.simpleString()
+    for _ in range(most):
+        todo = [k for k in weights if k not in out]
+        if not todo:
+            break
+        table = known.sparkSession.createDataFrame([(g, float(c), [float(w) for w in weights[g, c]]) for g, c in todo], f"g {kind}, c double, w array<double>")
+        rows = known.join(F.broadcast(table), "g")  # one row a group and penalty
+        z = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        rows = rows.withColumn("p", 1 / (1 + F.exp(-z)))
+        first = [F.sum((F.col("p") - F.col("y")) * F.col("x")[i]).alias(f"g{i}") for i in range(d)]
+        second = [F.sum(F.col("p") * (1 - F.col("p")) * F.col("x")[i] * F.col("x")[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)]
+        for r in rows.groupBy("g", "c").agg(F.count("*").alias("n"), *first, *second).collect():
+            w = weights[r.g, r.c]
+            ridge = np.r_[0.0, np.full(d - 1, 1.0 / r.c)]
+            gradient = np.array([r[f"g{i}"] for i in range(d)]) + ridge * w
+            if np.abs(gradient).max() <= 1e-7 * max(1, r.n):
+                out[r.g, r.c] = (r.n, float(np.abs(gradient).max()))
+                continue
+            hessian = np.diag(ridge + 1e-9)
+            for i in range(d):
+                for j in range(i, d):
+                    hessian[i, j] += r[f"h{i}_{j}"]
+                    hessian[j, i] = hessian[i, j]
+            step = np.linalg.solve(hessian, gradient)
+            weights[r.g, r.c] = w - step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+    rows = [(g, float(c), *out.get((g, c), (None, None)), float(w[0]), [float(v) for v in w[1:]]) for (g, c), w in weights.items()]
+    return known.sparkSession.createDataFrame(rows, f"{group} {kind}, c double, n bigint, gradient double, intercept double, weights array<double>")
+
+
+def conditional_rows(df: DataFrame, links: DataFrame, entity: str, node: str, label: str) -> DataFrame:
+    """Rows of df that may teach P(node | parent): labelled, and of entities whose parent is labelled 1; roots keep all.
+
+    links: (child, parent); of several parents the smallest counts.
+    """
+    of = F.broadcast(links.groupBy(F.col("child").alias(node)).agg(F.min("parent").alias("_parent")))  # as small as the ontology
+    rows = df.filter(F.col(label).isNotNull()).join(of, node, "left")
+    open_ = df.filter(F.col(label) == 1).select(F.col(entity), F.col(node).alias("_parent"))
+    gated = rows.filter("_parent is not null").join(open_, [entity, "_parent"], "left_semi")
+    return gated.select(*df.columns).unionByName(rows.filter("_parent is null").select(*df.columns))
+
+
 def fit_platt(df: DataFrame, score: str, label: str) -> Linear:
     """A one-dimensional logistic map of scores to probabilities, practically without a penalty."""
     return fit_logistic(df, [score], label, 1e6)

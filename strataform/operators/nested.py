@@ -219,14 +219,14 @@ def flat_table(rows: DataFrame, plan: TablePlan) -> DataFrame:
     return one.select("doc_key", "row_id", "parent", F.try_element_at("pos", F.lit(-1)).alias("pos"), *[column(p, k).alias(n) for n, (p, k) in plan.columns.items()])
 
 
-def schema_paths(df: DataFrame, value: str, maps: set[str], max_depth: int = 64) -> DataFrame:
+def schema_paths(df: DataFrame, value: str, maps: set[str]) -> DataFrame:
     """(path, kind, n) of every kind of value found at every path of the variants; [] for elements, * for names of maps.
 
     The documents are walked level by level; what is kept of each level is one row a path and kind.
     """
     rows = cut(df.select(F.lit("$").alias("path"), F.col(value).alias("v")))
     found = None
-    for _ in range(max_depth):
+    while True:
         kind = F.regexp_extract(F.schema_of_variant("v"), r"^\w+", 0)
         counts = rows.groupBy("path", F.when(kind.startswith("DECIMAL"), "DOUBLE").otherwise(kind).alias("kind")).agg(F.count("*").alias("n"))
         found = cut(counts) if found is None else found.unionByName(cut(counts))

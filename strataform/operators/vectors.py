@@ -188,3 +188,55 @@ def canvas(x: Column, y: Column, width: Column, height: Column, size: int, lette
     scale = F.lit(float(size)) / F.greatest(width, height)
     new_w, new_h = F.floor(width * scale), F.floor(height * scale)
     return [x * new_w / width + F.floor((size - new_w) / 2), y * new_h / height + F.floor((size - new_h) / 2)]
+
+
+def chooser_baselines(df: DataFrame, item: list[str], region: str, score: str, size: str, tests: list[str]) -> DataFrame:
+    """(item, chooser, tests): each test for the region of the highest score, for the largest, and as expected by chance.
+
+    Equal scores and sizes go to the smaller region; null tests are left out of the mean of chance. Null scores and sizes
+    lose against any other.
+    """
+    w = lambda c: F.row_number().over(Window.partitionBy(*item).orderBy(F.col(c).desc_nulls_last(), F.col(region).asc()))
+    ranked = df.withColumn("_s", w(score)).withColumn("_z", w(size))
+    per = ranked.groupBy(*item).agg(
+        F.max(F.when(F.col("_s") == 1, F.struct(*[F.col(t).cast("double").alias(t) for t in tests]))).alias("model"),
+        F.max(F.when(F.col("_z") == 1, F.struct(*[F.col(t).cast("double").alias(t) for t in tests]))).alias("largest_region"),
+        F.struct(*[F.avg(F.col(t).cast("double")).alias(t) for t in tests]).alias("random_region"),
+    )
+    who = F.array(*[F.struct(F.lit(c).alias("chooser"), F.col(c).alias("t")) for c in ("model", "largest_region", "random_region")])
+    return per.select(*item, F.explode(who).alias("w")).select(*item, "w.chooser", *[F.col(f"w.t.{t}").alias(t) for t in tests])
+
+
+def window_bytes(values: Column, low: float = 0.5, high: float = 99.5, invert: bool = False) -> Column:
+    """An array clipped to its own exact percentiles (linear between neighbours) and spread over 0 to 255, rounded half up.
+
+    Equal percentiles count as one apart; an empty or null array stays so.
+    """
+    x = F.array_sort(F.transform(values, lambda v: v.cast("double")))
+
+    def at(q: float) -> Column:
+        place = (F.size(x) - 1) * F.lit(q / 100.0)
+        below = F.floor(place).cast("int")
+        a, b = F.get(x, below), F.get(x, F.least(below + 1, F.size(x) - 1))
+        return a + (b - a) * (place - below)
+
+    lo, top = at(low), at(high)
+    hi = F.when(top <= lo, lo + 1.0).otherwise(top)
+    ends = F.struct(lo.alias("lo"), hi.alias("hi"))
+    share = lambda v, e: F.least(F.greatest((v.cast("double") - e["lo"]) / (e["hi"] - e["lo"]), F.lit(0.0)), F.lit(1.0))
+    turn = (lambda s: 1.0 - s) if invert else (lambda s: s)
+    spread = F.transform(F.array(ends), lambda e: F.transform(values, lambda v: F.floor(turn(share(v, e)) * 255.0 + 0.5).cast("int")))[0]
+    return F.when(F.size(values) > 0, spread).otherwise(values.cast("array<int>"))
+
+
+def rebuild_in_order(shards: DataFrame, ids: DataFrame, row: str, key: str) -> DataFrame:
+    """ids (row, key) with the other columns of shards, which hold rows in any order and may repeat a row identically.
+
+    Raises if a row of ids is in no shard, or if a row of the shards is in no id: nothing is filled or dropped in silence.
+    """
+    once = shards.dropDuplicates([row])
+    missing = ids.join(once.select(row), row, "left_anti").count()
+    extra = once.join(ids.select(row), row, "left_anti").count()
+    if missing or extra:
+        raise ContractError(f"{missing} rows are in no shard, {extra} rows of the shards are unknown")
+    return ids.select(row, key).join(once.drop(key), row)

@@ -212,17 +212,31 @@ def xml_classes(spark: SparkSession, path: str, row_tag: str, schema: str) -> Da
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
-def scene_graphs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions (image_id, region, x1, y1, x2, y2) and label counts (image_id, region, category, polarity, label, n) of graphs.
+def scene_graphs(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions, label counts and one row of figures a graph. members: (member, text), each a JSON graph.
 
-    members: (member, text), each a JSON graph with objects and attributes, whose values are 'category|polarity|label'.
+    Regions: image_id, region, the box and the original box and sizes. Labels: image_id, region, category, label, n_yes and
+    n_no, where a string that a phrase repeats counts once; a string without exactly three parts counts as bad and gives no
+    label. Figures: viewpoint, study_id, patient_id, n_objects, n_attr_regions, n_relationships, bad_attr_strings. Texts that
+    are no JSON object give nothing but a row of nulls and zeros in figures.
     """
-    schema = "image_id string, objects array<struct<bbox_name:string,x1:double,y1:double,x2:double,y2:double>>, attributes array<struct<bbox_name:string,attributes:array<array<string>>,phrases:array<string>>>"
+    box = [p + c for p in ("", "original_") for c in ("x1", "y1", "x2", "y2")] + ["original_width", "original_height"]
+    objects = ",".join(["bbox_name:string", *[f"{c}:double" for c in box]])
+    schema = (
+        f"image_id string, viewpoint string, study_id string, patient_id string, objects array<struct<{objects}>>, relationships array<string>, "
+        "attributes array<struct<bbox_name:string,attributes:array<array<string>>,phrases:array<string>>>"
+    )
     g = members.select(F.from_json("text", schema).alias("g")).select("g.*")
-    regions = g.select("image_id", F.explode("objects").alias("o")).select("image_id", F.col("o.bbox_name").alias("region"), "o.x1", "o.y1", "o.x2", "o.y2")
-    values = g.select("image_id", F.explode("attributes").alias("a")).select("image_id", F.col("a.bbox_name").alias("region"), F.explode(F.flatten("a.attributes")).alias("v"))
-    cut = F.split("v", r"\|")
-    return regions, values.select("image_id", "region", cut[0].alias("category"), cut[1].alias("polarity"), cut[2].alias("label")).groupBy("image_id", "region", "category", "polarity", "label").agg(F.count("*").alias("n"))
+    regions = g.select("image_id", F.explode("objects").alias("o")).select("image_id", F.col("o.bbox_name").alias("region"), *[F.col(f"o.{c}").alias(c) for c in box])
+    once = F.flatten(F.transform("a.attributes", lambda phrase: F.array_distinct(phrase)))
+    values = g.select("image_id", F.explode("attributes").alias("a")).select("image_id", F.col("a.bbox_name").alias("region"), F.explode(once).alias("v")).withColumn("p", F.split("v", r"\|", -1))
+    good = values.filter(F.size("p") == 3).select("image_id", "region", F.get("p", F.lit(0)).alias("category"), F.get("p", F.lit(1)).alias("polarity"), F.get("p", F.lit(2)).alias("label"))
+    labels = good.groupBy("image_id", "region", "category", "label").agg(F.count_if(F.col("polarity") == "yes").alias("n_yes"), F.count_if(F.col("polarity") != "yes").alias("n_no"))
+    strings = F.flatten(F.transform("attributes", lambda a: F.flatten(F.transform(a["attributes"], lambda phrase: F.array_distinct(phrase)))))
+    count = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0))
+    bad = F.filter(strings, lambda s: F.size(F.split(s, r"\|", -1)) != 3)
+    figures = g.select("image_id", "viewpoint", "study_id", "patient_id", count("objects").alias("n_objects"), count("attributes").alias("n_attr_regions"), count("relationships").alias("n_relationships"), count(bad).alias("bad_attr_strings"))
+    return regions, labels, figures
 
 
 def yaml_rows(path: str) -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,27 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Replace a Parquet table; readers see it only when the commit is done."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Replace a Parquet table: it is written beside the old one and takes its name when all of it is there.
+
+    Until then, and if the job dies, readers have the old table; df may read it too. Where the file system can't rename,
+    the new table stays beside the old one and an error is raised.
+    """
+    spark = df.sparkSession
+    beside, old = f"{path}.writing-{uuid4().hex}", f"{path}.old-{uuid4().hex}"
+    df.write.mode("errorifexists").parquet(beside)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = fs.exists(make(path))
+    if had and not fs.rename(make(path), make(old)):
+        raise OSError(f"{path} can't be replaced; the new table is {beside}")
+    if not fs.rename(make(beside), make(path)):
+        if had:
+            fs.rename(make(old), make(path))
+        raise OSError(f"{path} can't be replaced; the new table is {beside}")
+    if had:
+        fs.delete(make(old), True)
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
 
 
 def write_frozen(df: DataFrame, path: str) -> DataFrame:

@@ -67,8 +67,12 @@ def test_arrays_xml_and_graphs(spark, tmp_path):
     x = files.xml_classes(spark, str(tmp_path / "o.xml"), "c", "_id string, label string, up array<string>")
     assert {r["_id"]: r.up for r in x.collect()} == {"1": ["0"], "2": ["1", "0"]}
     g = spark.createDataFrame([("m", json.dumps({"image_id": "i", "objects": [{"bbox_name": "lung", "x1": 0, "y1": 0, "x2": 1, "y2": 1}], "attributes": [{"bbox_name": "lung", "attributes": [["finding|yes|edema", "finding|no|mass"], ["finding|yes|edema"]], "phrases": []}]}))], "member string, text string")
-    regions, values = files.scene_graphs(g)
-    assert regions.count() == 1 and {(r.label, r.polarity, r.n) for r in values.collect()} == {("edema", "yes", 2), ("mass", "no", 1)}
+    regions, values, figures = files.scene_graphs(g)
+    assert regions.count() == 1 and {(r.label, r.n_yes, r.n_no) for r in values.collect()} == {("edema", 2, 0), ("mass", 0, 1)}
+    odd = [("a", json.dumps({"image_id": "j", "attributes": [{"bbox_name": "lung", "attributes": [["f|yes|x", "f|yes|x", "bad"]], "phrases": ["p"]}, {"bbox_name": "lung"}]})), ("b", "no json"), ("c", None)]
+    regions, values, figures = files.scene_graphs(spark.createDataFrame(odd, "member string, text string"))
+    assert regions.count() == 0 and [(r.label, r.n_yes) for r in values.collect()] == [("x", 1)]
+    assert sorted((r.image_id or "", r.n_attr_regions, r.bad_attr_strings) for r in figures.collect()) == [("", 0, 0), ("", 0, 0), ("j", 2, 1)]
     (tmp_path / "k.yaml").write_text('{"nodes": [{"id": "a"}]}')
     assert files.yaml_rows(str(tmp_path / "k.yaml"))["nodes"][0]["id"] == "a"
 

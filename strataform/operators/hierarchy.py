@@ -20,26 +20,25 @@ def clean_links(links: DataFrame) -> DataFrame:
     return links.select("child", "parent").filter("child is not null and parent is not null").distinct()
 
 
-def _chains(single: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Follow the only parent of nodes that have one, by doubling.
+def endless(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node) of nodes whose way upward never ends, and the links among them; links as of clean_links.
 
-    Input (node, to). Returns (node, head) where the walk leaves these nodes, and (node, to) of those whose walk never
-    does; in the latter, to takes exactly the nodes on cycles.
+    A frontier starts at the roots and doubles its reach every round: after round k all nodes less than 2^k levels under
+    their roots are resolved, as no walk of 2^k links leads up from them. Walks of 2^k links are pairs of their ends, met
+    from one midpoint. When every unresolved node has an unresolved parent, none of them will ever be resolved.
     """
-    jumps = cut(single)
-    moving, images = jumps.count(), -1
-    while moving:
-        at = jumps.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        jumps = cut(jumps.join(at, "to", "left").select("node", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
-        now = jumps.filter("moved").count()
-        endless = jumps.filter("moved").select("to").distinct().count() if now == moving else -2
-        if now == moving and endless == images:  # no walk ended and the images are stable: cycles only
-            break
-        moving, images = now, endless
-        jumps = jumps.select("node", "to")
-    if "moved" not in jumps.columns:
-        jumps = jumps.withColumn("moved", F.lit(False))
-    return jumps.filter("not moved").select("node", F.col("to").alias("head")), jumps.filter("moved").select("node", "to")
+    edges = cut(links)
+    walks = edges.select(F.col("child").alias("node"), F.col("parent").alias("end"))
+    open_nodes = cut(walks.select("node").distinct())
+    while True:
+        inner = edges.join(open_nodes.withColumnRenamed("node", "child"), "child", "left_semi").join(open_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        inner = cut(inner.select("child", "parent"))
+        if inner.select("child").distinct().count() == open_nodes.count():
+            return open_nodes, inner
+        left = inner.select(F.col("child").alias("node")).distinct()
+        first = walks.join(left, "node", "left_semi").select("node", F.col("end").alias("middle"))
+        walks = cut(first.join(walks.select(F.col("node").alias("middle"), "end"), "middle").select("node", "end").distinct())
+        open_nodes = cut(walks.select("node").distinct())
 
 
 def ancestor_pairs(links: DataFrame) -> DataFrame:
@@ -64,49 +63,26 @@ def ancestor_pairs(links: DataFrame) -> DataFrame:
 def cycle_cases(links: DataFrame) -> DataFrame:
     """(node, case_kind) of the nodes whose way upward never ends: on_cycle or below_cycle.
 
-    Nodes are resolved level by level from the roots: a node is done when all its parents are. Chains of nodes with one
-    parent are first jumped by doubling, so a level is a node with several parents, not a link. Nodes never reached lead
-    into a cycle. Of those, walks over single parents that never leave mark their cycles directly; the others are trimmed
-    from below, and a node met among its own ancestors is on a cycle.
+    They are the nodes that a frontier from the roots never resolves (see endless). A second frontier from below leaves those
+    that have a cycle under them too. Where each of them has one parent among them, they are the cycles; else those met
+    among their own ancestors are.
     """
-    edges = cut(clean_links(links))
-    parents = edges.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("to"))
-    parents = cut(parents)
-    single = parents.filter("n = 1").select(F.col("child").alias("node"), "to")
-    heads, turning = (cut(x) for x in _chains(single))
-    several = edges.join(parents.filter("n > 1").select("child"), "child", "left_semi")
-    mapped = several.join(heads.select(F.col("node").alias("parent"), "head"), "parent", "left")
-    waiting = cut(mapped.select("child", F.coalesce("head", "parent").alias("on")).distinct())
-    # A parent that is no child at all is a root, and done from the start.
-    waiting = cut(waiting.join(edges.select(F.col("child").alias("on")).distinct(), "on", "left_semi").select("child", "on"))
-    open_nodes = cut(waiting.select(F.col("child").alias("node")).distinct())
-    done = cut(parents.filter("n > 1").select(F.col("child").alias("node")).join(open_nodes, "node", "left_anti"))
-    while not done.isEmpty():
-        waiting = cut(waiting.join(done.withColumnRenamed("node", "on"), "on", "left_anti").select("child", "on"))
-        still = cut(waiting.select(F.col("child").alias("node")).distinct())
-        done = cut(open_nodes.join(still, "node", "left_anti"))
-        open_nodes = still
-    led = heads.join(open_nodes.withColumnRenamed("node", "head"), "head", "left_semi").select("node")
-    rest = cut(open_nodes.unionByName(led))  # endless, but not by single parents alone
-    inner = edges.join(rest.withColumnRenamed("node", "child"), "child", "left_semi").join(rest.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    inner = cut(inner.select("child", "parent"))
-    size, before = inner.count(), -1
-    while size != before:  # drop links of nodes that have no child left
-        before = size
-        inner = cut(inner.join(inner.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"))
-        size = inner.count()
-    own = ancestor_pairs(inner).filter("ancestor = descendant").select(F.col("ancestor").alias("node"))
-    on = turning.select(F.col("to").alias("node")).unionByName(own).distinct().withColumn("on", F.lit(True))
-    endless = turning.select("node").unionByName(rest).distinct()
-    return endless.join(on, "node", "left").select("node", F.when(F.col("on"), "on_cycle").otherwise("below_cycle").alias("case_kind"))
+    nodes, inner = endless(clean_links(links))
+    turned = inner.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    _, core = endless(turned)
+    core = cut(core.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
+    several = core.groupBy("child").agg(F.count("*").alias("n")).filter("n > 1")
+    on = core.select(F.col("child").alias("node")) if several.isEmpty() else ancestor_pairs(core).filter("ancestor = descendant").select(F.col("ancestor").alias("node"))
+    marked = on.distinct().withColumn("on", F.lit(True))
+    return nodes.join(marked, "node", "left").select("node", F.when(F.col("on"), "on_cycle").otherwise("below_cycle").alias("case_kind"))
 
 
 def root_paths(links: DataFrame) -> DataFrame:
     """(node, root, depth, path) for every node and every root it is reached from, path from root to node.
 
-    Of several paths from one root the shortest counts, then the smallest. A frontier starts at the roots and advances
-    STRIDE levels a join, over segments of up to STRIDE links that doubling has prepared. A path never meets a node
-    twice, so cycles end. A node reached from no root gives no row: it is on or under a cycle only.
+    Of several paths from one root the shortest counts, then the smallest (see path_counts for how many there are). A
+    frontier starts at the roots and advances STRIDE levels a join, over the shortest segments of up to STRIDE links that
+    doubling has prepared. A node reached from no root gives no row: it is on or under a cycle only.
     """
     edges = cut(clean_links(links))
     segments = cut(edges.filter("child <> parent").select(F.col("parent").alias("top"), F.col("child").alias("node"), F.lit(1).alias("length"), F.array("child").alias("way")))
@@ -114,27 +90,47 @@ def root_paths(links: DataFrame) -> DataFrame:
     while reach < STRIDE:
         upper = segments.select("top", F.col("node").alias("middle"), F.col("length").alias("l"), F.col("way").alias("w"))
         lower = segments.filter(F.col("length") == reach).select(F.col("top").alias("middle"), "node", F.col("way").alias("v"))
-        free = upper.join(lower, "middle").filter(~F.arrays_overlap("w", "v") & ~F.array_contains("v", F.col("top")))
-        longer = free.groupBy("top", "node", (F.col("l") + reach).alias("length")).agg(F.min(F.concat("w", "v")).alias("way"))
-        segments = cut(segments.unionByName(longer))
+        longer = upper.join(lower, "middle").filter("top <> node").select("top", "node", (F.col("l") + reach).alias("length"), F.concat("w", "v").alias("way"))
+        segments = cut(_shortest(segments.unionByName(longer), ["top", "node"], "length", "way"))
         reach *= 2
     segments = cut(segments.repartition("top"))
     roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-    frontier = cut(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path")))
-    found = [frontier]
-    at = 0
+    found = frontier = cut(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path")))
     while True:
         start = frontier.select(F.col("node").alias("top"), "root", "depth", "path")
-        on = start.join(segments, "top").filter(~F.arrays_overlap("path", "way"))
-        ahead = on.groupBy("node", "root", (F.col("depth") + F.col("length")).alias("depth")).agg(F.min(F.concat("path", "way")).alias("path"))
-        ahead = cut(ahead)
-        if ahead.isEmpty():
-            break
-        found.append(ahead)
-        at += STRIDE
-        frontier = ahead.filter(F.col("depth") == at)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    best = every.groupBy("node", "root").agg(F.min(F.struct("depth", "path")).alias("b"))
-    return best.select("node", "root", F.col("b.depth").alias("depth"), F.col("b.path").alias("path"))
+        on = start.join(segments, "top").select("node", "root", (F.col("depth") + F.col("length")).alias("depth"), F.concat("path", "way").alias("path"))
+        ahead = _shortest(on, ["node", "root"], "depth", "path").join(found.select("node", "root"), ["node", "root"], "left_anti")
+        ahead = cut(ahead.select("node", "root", "depth", "path"))
+        deepest = ahead.agg(F.max("depth")).first()[0]
+        if deepest is None:
+            return found
+        found = found.unionByName(ahead)
+        frontier = ahead.filter(F.col("depth") == deepest)
+
+
+def _shortest(df: DataFrame, keys: list[str], length: str, way: str) -> DataFrame:
+    """The row of each key with the shortest, then the smallest way."""
+    best = df.groupBy(*keys).agg(F.min(F.struct(length, way)).alias("b"))
+    return best.select(*keys, F.col(f"b.{length}").alias(length), F.col(f"b.{way}").alias(way))
+
+
+def path_counts(links: DataFrame) -> DataFrame:
+    """(node, paths): how many paths lead from roots to each node whose ways upward all end; roots have one.
+
+    All paths are the links themselves followed from the roots; their number may be exponential, their counts are not:
+    they are summed level by level, a node when all its parents are done. Counts are exact up to 38 digits.
+    """
+    edges = cut(clean_links(links))
+    never, _ = endless(edges)
+    good = cut(edges.join(never.withColumnRenamed("node", "child"), "child", "left_anti").select("child", "parent"))
+    one = F.lit(1).cast("decimal(38,0)")
+    roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
+    done = cut(roots.select("node", one.alias("paths")))
+    left = good
+    while not left.isEmpty():
+        known = left.join(done.select(F.col("node").alias("parent"), "paths"), "parent", "left")
+        sums = known.groupBy("child").agg(F.count_if(F.col("paths").isNull()).alias("open"), F.sum("paths").cast("decimal(38,0)").alias("paths"))
+        new = cut(sums.filter("open = 0").select(F.col("child").alias("node"), "paths"))
+        left = cut(left.join(new.select(F.col("node").alias("child")), "child", "left_anti").select("child", "parent"))
+        done = cut(done.unionByName(new))
+    return done

@@ -9,8 +9,6 @@ from strataform.runtime import checked_broadcast, cut
 
 #: Edges of one node after which its adjacency list is spread over several partitions.
 HOT_EDGES = 100_000
-#: Components with more than this share of all rows (at most 1 / GIANT of them) are placed one by one.
-GIANT = 0.01
 #: Hash buckets of the two-level prefix sum.
 BUCKETS = 4096
 
@@ -122,11 +120,12 @@ def broken_members(df: DataFrame, keys: list[str], given: str) -> DataFrame:
     return label_anchors(members, labels).join(spans, "label", "left_semi").select(F.col(own[0]).alias(keys[0]))
 
 
-def grouped_splits(df: DataFrame, keys: list[str], row_id: str, shares: dict[str, float]) -> DataFrame:
+def grouped_splits(df: DataFrame, keys: list[str], row_id: str, shares: dict[str, float], giant: float | None = None) -> DataFrame:
     """Every row with new_split, so that rows sharing a value of any key never part and the shares of rows are met.
 
-    Groups are ordered by the hash of their label and cut where the running number of rows reaches the shares; groups
-    with more than GIANT of all rows go first, each to the split that lacks most rows. The running number is a prefix
+    Groups are ordered by the hash of their label and cut where the running number of rows reaches the shares, so a share
+    is met up to half of the group at its limit. giant, if given, is a share of all rows: groups above it (at most 1 / giant)
+    go first, each to the split that lacks most rows, which meets the shares where single groups are large. The running number is a prefix
     sum over hash buckets and then inside each bucket, so no task sees all groups. Rows without any key are groups of
     their own by row_id (rows whose row_id is null too form one group). The result depends on the keys only, not on the
     order or partitioning of rows. An empty table gives an empty result; the other columns pass through, but for
@@ -141,7 +140,7 @@ def grouped_splits(df: DataFrame, keys: list[str], row_id: str, shares: dict[str
     names = list(shares)
     lack = {s: total * shares[s] for s in names}
     placed = []
-    for label, rows in groups.filter(F.col("rows") > GIANT * total).orderBy(F.desc("rows"), "label").collect():  # at most 1 / GIANT rows
+    for label, rows in groups.filter(F.col("rows") > giant * total).orderBy(F.desc("rows"), "label").collect() if giant else []:  # at most 1 / giant rows
         to = max(names, key=lambda s: (lack[s], -names.index(s)))
         lack[to] -= rows
         placed.append((label, to))

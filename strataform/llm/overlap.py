@@ -7,35 +7,39 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.llm.neighbours import _matrix, valid_vectors, with_classes
 from strataform.llm.symbolindex import VectorIndex
 from strataform.llm.vectortree import unit
-from strataform.runtime import cores, cut
+from strataform.runtime import cores, cut, ensure_checkpoint_dir
 
 #: Vectors of one shard of the index; more are taken in further shards.
 SHARD = 65_536
 #: Vectors that are searched for at once.
 STEP = 4096
 
-_INDEXES: dict[str, VectorIndex] = {}
+_INDEXES: dict[str, tuple[pa.Array, VectorIndex]] = {}
 
 
-def _index(held, name: str) -> VectorIndex:
-    """The index of one shard, built once in each worker; name is unique to the shard and run."""
+def _index(folder: str, shard: int) -> tuple[pa.Array, VectorIndex]:
+    """Ids and index of one shard, built once in each worker from the shared folder, whose name is unique to the run."""
+    name = f"{folder}/shard={shard}"
     if name not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[name] = VectorIndex(unit(held.value[1]))
+        files, path = (fs.LocalFileSystem(), "/" + name[5:].lstrip("/")) if name.startswith("file:") else fs.FileSystem.from_uri(name)
+        rows = dataset.dataset(path, filesystem=files, format="parquet").to_table(columns=["id", "vector"]).sort_by("id")
+        _INDEXES[name] = (rows["id"].combine_chunks(), VectorIndex(unit(_matrix(rows["vector"]))))
     return _INDEXES[name]
 
 
-def near_equal_across(df: DataFrame, sides: DataFrame, key: str, vector: str, size: int, cosine: float, latest: str | None = None) -> DataFrame:
+def near_equal_across(df: DataFrame, sides: DataFrame, key: str, vector: str, size: int, cosine: float, latest: str | None = None, shared: bool = False) -> DataFrame:
     """(left_id, right_id) of pairs, one of side a and one of side b, whose vectors have at least that cosine.
 
     sides has id and side (a or b); ids without a side or a valid vector take no part, an id of both sides takes part in
-    both but never with itself. The vectors of side b (held-out splits) are indexed in shards of bounded size, those of
+    both but never with itself. With shared a third column gives the symbols of their matches under all rotations. The vectors of side b (held-out splits) are indexed in shards of bounded size, those of
     side a stream past every shard by backward search (see symbolindex): pairs with enough equal symbols in a row are
     candidates, their spans are merged, and the cosine is then computed exactly, so every pair is right. A pair at the
     very limit of 0.98 has no long enough match under any rotation in about 1 of 20,000 cases, closer ones far more
@@ -52,21 +56,25 @@ def near_equal_across(df: DataFrame, sides: DataFrame, key: str, vector: str, si
     shards = -(-held_out // SHARD)
     # Few bytes but much work: at least two tasks a core.
     queries = cut(reps.filter("a").select("id", "vector").repartition(max(2 * cores(spark), asked // 50_000)))
+    # Shards lie in the shared folder and are read where they are searched, so none of them passes through the driver.
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid4().hex}"
+    shard = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, shards))).cast("int").alias("shard")
+    reps.filter("b").select("id", "vector", shard).repartition("shard").write.partitionBy("shard").parquet(folder)
     found = spark.createDataFrame([], "l string, r string, symbols bigint")
     for k in range(shards):
-        shard = reps.filter(F.col("b") & (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)) == k)).select("id", "vector").toArrow()  # about SHARD rows
-        held, name = spark.sparkContext.broadcast((shard["id"].combine_chunks(), _matrix(shard["vector"]))), uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, name: str = name) -> Iterator[pa.RecordBatch]:
-            ids = held.value[0]
+        def run(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for start in range(0, batch.num_rows, STEP):
                     part = batch.slice(start, STEP)
-                    q, v, n = _index(held, name).near(unit(_matrix(part.column(1))), cosine)
+                    ids, index = _index(folder, k)
+                    q, v, n = index.near(unit(_matrix(part.column(1))), cosine)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q)), ids.take(pa.array(v)), pa.array(n.astype(np.int64))], names=["l", "r", "symbols"])
 
-        found = found.unionByName(queries.mapInArrow(run, "l string, r string, symbols bigint"))
-    pairs = cut(found.select("l", "r"))
+        if not reps.filter(F.col("b") & (shard == k)).isEmpty():
+            found = found.unionByName(queries.mapInArrow(run, "l string, r string, symbols bigint"))
+    pairs = cut(found.select("l", "r", F.col("symbols").alias("shared")))
     of_a = classes.filter("side = 'a'").select(F.col("rep").alias("l"), F.col("id").alias("left_id"))
     of_b = classes.filter("side = 'b'").select(F.col("rep").alias("r"), F.col("id").alias("right_id"))
-    return pairs.join(of_a, "l").join(of_b, "r").filter("left_id <> right_id").select("left_id", "right_id")
+    return pairs.join(of_a, "l").join(of_b, "r").filter("left_id <> right_id").select("left_id", "right_id", *(["shared"] if shared else []))

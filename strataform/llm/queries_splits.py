@@ -9,6 +9,8 @@ from strataform.llm.components import broken_members, grouped_splits
 from strataform.runtime import table
 
 SHARES = {"train": 0.8, "validate": 0.1, "test": 0.1}
+#: One subject may hold a tenth of the rows or more: groups above this share are placed first.
+GIANT = 0.01
 
 
 def split_name(column: str) -> F.Column:
@@ -26,7 +28,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of study_records with its given and its new split."""
     rows = table(spark, sf_dir, "study_records").select("dicom_id", "subject_id", "study_id", split_name("split").alias("given_split"))
-    return grouped_splits(rows, ["subject_id", "study_id"], "dicom_id", SHARES)
+    return grouped_splits(rows, ["subject_id", "study_id"], "dicom_id", SHARES, GIANT)
 
 
 P1_FOUND_SQL = r"""

@@ -55,6 +55,9 @@ valid AS (
   WHERE dicom_id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0
 )
 """
+_SIDES_SQL = """s AS (
+  SELECT DISTINCT dicom_id AS id, CASE substr(regexp_replace(lower(split), '^[^a-z]+', ''), 1, 2) WHEN 'tr' THEN 'train' WHEN 'va' THEN 'validate' WHEN 'te' THEN 'test' END AS split FROM study_records
+), r AS (SELECT * FROM valid JOIN s USING (id) WHERE split IS NOT NULL)"""
 ORACLE_SQL = {
     "p4_found": f"""
 WITH {VALID_SQL}, s AS (
@@ -69,4 +72,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM
 SELECT DISTINCT least(a, b) AS dicom_id_a, greatest(a, b) AS dicom_id_b FROM k WHERE n <= 5
 """,
 }
+ORACLE_SQL["p4_report"] = f"""
+WITH {VALID_SQL}, {_SIDES_SQL}, p AS (SELECT DISTINCT a.id AS l, b.id AS r, b.split FROM r a JOIN r b ON a.split = 'train' AND b.split <> 'train' AND a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+o AS (SELECT dicom_id AS r, max(checkpoint_name) AS origin FROM image_embeddings WHERE dicom_id IS NOT NULL GROUP BY 1)
+SELECT split, origin, count(DISTINCT r) AS images, count(*) AS pairs FROM p LEFT JOIN o USING (r) GROUP BY ALL
+"""
+ORACLE_SQL["p5_neighbours"] = f"""
+WITH {VALID_SQL}, p AS (SELECT a.id AS dicom_id, b.id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM valid a JOIN valid b ON a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY dicom_id ORDER BY similarity DESC, neighbour)::INT AS rank FROM p)
+SELECT dicom_id, neighbour, similarity, rank FROM k WHERE rank <= 5
+"""
 QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_neighbours": p5_neighbours}

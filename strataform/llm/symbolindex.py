@@ -3,7 +3,7 @@
 A unit vector is turned by a fixed rotation and each of its coordinates is cut into cells: one symbol a coordinate, so a
 vector is a string. The index is that of Burrows and Wheeler for these strings: for every coordinate the suffixes that
 start there are sorted, and (symbol, rank of the suffix one further right) in sorted order is what a step to the left
-needs; the strings themselves aren't kept. As symbols of different coordinates differ, matches are aligned by themselves.
+needs; the symbols are kept beside them, one byte each, to see how far a match goes. As symbols of different coordinates differ, matches are aligned by themselves.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ class SymbolIndex:
     """order[j]: the vectors in the order of their suffixes from coordinate j; keys[j]: symbol * rows + rank, sorted."""
 
     rows: int
+    symbols: np.ndarray
     order: list[np.ndarray]
     keys: list[np.ndarray]
 
@@ -48,7 +49,7 @@ class SymbolIndex:
             keys.append(key[by])
             rank = np.empty(n, dtype=np.int32)
             rank[by] = np.arange(n, dtype=np.int32)
-        return cls(n, order[::-1], keys[::-1])
+        return cls(n, symbols.astype(np.uint8), order[::-1], keys[::-1])
 
     def matches(self, symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(query, vector, start, end) of stretches of equal symbols, at least so many in a row.
@@ -81,6 +82,24 @@ class SymbolIndex:
                 query, end, lo, hi = query[~done], end[~done], lo[~done], hi[~done]
         return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in range(4))
 
+    def maximal(self, symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, start, end) of all maximal stretches: those that go on neither to the left nor to the right.
+
+        Of the stretches found, those whose next symbols to the right agree belong to a search that began further right;
+        the others are followed to the left as far as they agree.
+        """
+        q, v, start, end = self.matches(symbols, least)
+        last = symbols.shape[1] - 1
+        after = np.minimum(end + 1, last)
+        whole = (end == last) | (self.symbols[v, after] != symbols[q, after])
+        q, v, start, end = q[whole], v[whole], start[whole], end[whole]
+        going = np.flatnonzero(start > 0)
+        while len(going):
+            going = going[self.symbols[v[going], start[going] - 1] == symbols[q[going], start[going] - 1]]
+            start[going] -= 1
+            going = going[start[going] > 0]
+        return q, v, start, end
+
 
 def merged(query: np.ndarray, vector: np.ndarray, start: np.ndarray, end: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, symbols): spans of a pair merged, and how many symbols they cover; each pair once."""
@@ -90,7 +109,7 @@ def merged(query: np.ndarray, vector: np.ndarray, start: np.ndarray, end: np.nda
     head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, dtype=np.int64)
     before = np.r_[-1, end[:-1]]
     before[head] = -1
-    gained = end - np.maximum(start - 1, before)  # spans of one length and rising starts: the last end is the farthest
+    gained = end - np.maximum(start - 1, before)  # ends rise with starts: the last end is the farthest
     covered = np.add.reduceat(gained, head) if len(head) else gained
     return pair[head] // rows if rows else pair[head], pair[head] % rows if rows else pair[head], covered
 
@@ -104,7 +123,7 @@ class VectorIndex:
 
     def near(self, unit: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, vector, symbols) of pairs with a match under some rotation and at least that cosine, computed in double."""
-        parts = [merged(*index.matches(strings(unit, k), MATCH), index.rows) for k, index in enumerate(self.indexes)]
+        parts = [merged(*index.maximal(strings(unit, k), MATCH), index.rows) for k, index in enumerate(self.indexes)]
         q, v, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
         pair = q * max(1, len(self.unit)) + v
         pair, at = np.unique(pair, return_inverse=True)

@@ -87,28 +87,37 @@ class Tree:
         """The first visits leaves of each row, best bin first; -1 where the tree has no more.
 
         Each row has a priority queue of nodes by distance to their centres. The nearest is taken out: a leaf is visited,
-        another node puts its children into the queue. The queues of many rows advance together.
+        another node puts its children into the queue. As every node taken out leads to a leaf at least, those beyond the
+        visits still open are never taken and are dropped, so a queue holds no more than visits nodes and some children,
+        however large the tree is. The queues of many rows advance together.
         """
         visits = min(visits, self.leaves)
         out = np.full((len(x), visits), -1, dtype=np.int32)
-        step = max(1, 4_000_000 // len(self.centres))
+        room = visits + BRANCHES
+        step = max(1, 4_000_000 // room)
         for start in range(0, len(x), step):
             part = x[start : start + step]
             n = len(part)
-            queue = np.full((n, len(self.centres)), np.inf, dtype=np.float32)
-            queue[:, 0] = 0
+            far, node = np.full((n, room), np.inf, dtype=np.float32), np.zeros((n, room), dtype=np.int32)
+            far[:, 0] = 0
             seen = np.zeros(n, dtype=np.int64)
             open_rows = np.arange(n)
             while len(open_rows):
-                top = queue[open_rows].argmin(1) if len(open_rows) < n else queue.argmin(1)
-                queue[open_rows, top] = np.inf
+                slot = far[open_rows].argmin(1)
+                top = node[open_rows, slot]
+                far[open_rows, slot] = np.inf
                 is_leaf = self.count[top] == 0
                 r = open_rows[is_leaf]
                 out[start + r, seen[r]] = self.leaf[top[is_leaf]]
                 seen[r] += 1
                 inner, at = open_rows[~is_leaf], top[~is_leaf]
-                for node in np.unique(at):
-                    rows = inner[at == node]
-                    queue[rows, self._below(node)] = self._distances(part[rows], node)
+                for k in np.unique(at):
+                    rows = inner[at == k]
+                    below = self._below(k)
+                    more = self._distances(part[rows], k)
+                    both = np.concatenate([far[rows], more], axis=1)
+                    names = np.concatenate([node[rows], np.broadcast_to(np.arange(below.start, below.stop, dtype=np.int32), more.shape)], axis=1)
+                    kept = np.argpartition(both, room - 1, axis=1)[:, :room]
+                    far[rows], node[rows] = np.take_along_axis(both, kept, 1), np.take_along_axis(names, kept, 1)
                 open_rows = open_rows[seen[open_rows] < visits]
         return out

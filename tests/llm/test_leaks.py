@@ -40,6 +40,30 @@ def test_exactly_ten(spark):
     assert sorted(x.doc_id for x in leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()) == [1, 5]
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_one_edit_and_string_ids(spark):
+    r = random.Random(3)
+    w = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 7))) for _ in range(40)]
+    items = [("i1", " ".join(w[:20])), ("i2", " ".join(w[20:]))]
+    passage = " ".join(w[3:13])
+    cut = len(passage) // 2
+    changed = [passage[:cut] + "z" + passage[cut + 1 :], passage[:cut] + passage[cut + 1 :], passage[:cut] + "z" + passage[cut:]]
+    twice = passage[: cut - 9] + "z" + passage[cut - 8 : cut + 9] + "z" + passage[cut + 10 :]
+    docs = [(f"d{k}", "qq rr " + t + " ss") for k, t in enumerate([passage, *changed, twice])]
+    assert [edit_distance(passage, t) for t in changed] == [1, 1, 1] and edit_distance(passage, twice) == 2
+    frames = [spark.createDataFrame(x, "id string, text string") for x in (docs, items)]
+    found = lambda e: sorted(r[0] for r in leaks.find_leaks(frames[0].withColumnRenamed("id", "d"), "d", "text", frames[1].withColumnRenamed("id", "i"), "i", "text", 10, e).collect())
+    assert found(0) == ["d0"] and found(1) == ["d0", "d1", "d2", "d3"]
+
+
 def test_empty(spark):
     d, i = "doc_id bigint, text string", "item_id bigint, text string"
     full = spark.createDataFrame([(1, "a " * 50)], d)

@@ -87,6 +87,32 @@ def test_backward_search_finds_every_stretch():
     assert dict(zip(zip(pq.tolist(), pv.tolist()), n.tolist())) == covered
 
 
+def test_maximal_stretches():
+    r = np.random.default_rng(5)
+    a, b = r.integers(2, size=(30, 14)).astype(np.int32), r.integers(2, size=(20, 14)).astype(np.int32)
+    b[3] = a[5]
+    got = set(zip(*(x.tolist() for x in SymbolIndex.build(a).maximal(b, 3))))
+    want = set()
+    for i in range(20):
+        for k in range(30):
+            same = [False, *(b[i] == a[k]).tolist(), False]
+            starts = [j for j in range(1, 15) if same[j] and not same[j - 1]]
+            ends = [j for j in range(1, 15) if same[j] and not same[j + 1]]
+            want |= {(i, k, s - 1, e - 1) for s, e in zip(starts, ends) if e - s >= 2}
+    assert got == want and (3, 5, 0, 13) in got
+
+
+def test_best_bins_are_the_nearest_leaves():
+    """With room for few nodes the queue gives the same leaves as with room for all."""
+    from strataform.llm.vectortree import Tree
+
+    x = unit(np.random.default_rng(2).normal(size=(3000, 12))).astype(np.float32)
+    tree = Tree.fit(x, 200)
+    every = tree.best_bins(x[:50], tree.leaves)
+    assert (np.sort(every, axis=1) == np.arange(tree.leaves)).all()
+    assert (tree.best_bins(x[:50], 9) == every[:, :9]).all()
+
+
 def test_match_recall_near_the_limit():
     """Pairs at a cosine of 0.985 share a long enough match under nearly every choice of rotations."""
     from strataform.llm.symbolindex import VectorIndex

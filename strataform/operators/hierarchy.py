@@ -27,15 +27,15 @@ def endless(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     their roots are resolved, as no walk of 2^k links leads up from them. Walks of 2^k links are pairs of their ends, met
     from one midpoint. When every unresolved node has an unresolved parent, none of them will ever be resolved.
     """
-    edges = cut(links)
-    walks = edges.select(F.col("child").alias("node"), F.col("parent").alias("end"))
+    inner = cut(links)
+    walks = inner.select(F.col("child").alias("node"), F.col("parent").alias("end"))
     open_nodes = cut(walks.select("node").distinct())
     while True:
-        inner = edges.join(open_nodes.withColumnRenamed("node", "child"), "child", "left_semi").join(open_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        inner = inner.join(open_nodes.withColumnRenamed("node", "child"), "child", "left_semi").join(open_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
         inner = cut(inner.select("child", "parent"))
-        if inner.select("child").distinct().count() == open_nodes.count():
-            return open_nodes, inner
         left = inner.select(F.col("child").alias("node")).distinct()
+        if open_nodes.join(left, "node", "left_anti").isEmpty():
+            return open_nodes, inner
         first = walks.join(left, "node", "left_semi").select("node", F.col("end").alias("middle"))
         walks = cut(first.join(walks.select(F.col("node").alias("middle"), "end"), "middle").select("node", "end").distinct())
         open_nodes = cut(walks.select("node").distinct())

@@ -6,8 +6,11 @@ Scores are first counted by group and value, so that ties are exact and no task
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataform.functions.hashing import hex_number
 from strataform.functions.numeric import width_bin
@@ -16,6 +19,8 @@ from strataform.operators.ordered import running_before
 MIN_HITS = 10
 #: Ranges of the score in which a bootstrap folds its rows.
 BOOT_RANGES = 32
+#: Rows that are folded at once.
+FOLD_ROWS = 2048
 #: Cumulative probabilities of a Poisson variable of mean 1, by which a hash becomes a bootstrap weight.
 POISSON_1 = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 
@@ -116,12 +121,37 @@ def poisson_step(u: Column) -> Column:
     return out
 
 
+def _fold_range(t: pa.Table, keys: list[str], replicates: int) -> pa.Table:
+    """One row with the weighted positives, negatives and pairs won of every replicate, within one range of scores."""
+    t = t.sort_by("p")
+    p, y, n = (t[c].to_numpy() for c in ("p", "y", "n"))
+    flat = t["w"].combine_chunks()
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    w = flat.flatten().to_numpy().reshape(len(p), replicates)
+    pos, neg, u = (np.zeros(replicates) for _ in range(3))
+    starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+    ends = np.r_[starts[1:], len(p)]
+    at = 0
+    while at < len(starts):  # whole values, some FOLD_ROWS rows at a time
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + FOLD_ROWS, "right")))
+        lo, hi = starts[at], ends[to - 1]
+        part = w[lo:hi] * n[lo:hi, None].astype(np.float64)
+        up = y[lo:hi, None] == 1
+        of_pos, of_neg = (np.add.reduceat(np.where(up == side, part, 0.0), starts[at:to] - lo, axis=0) for side in (True, False))
+        before = neg + np.cumsum(of_neg, axis=0) - of_neg
+        u += (of_pos * (before + of_neg / 2)).sum(0)
+        pos += of_pos.sum(0)
+        neg += of_neg.sum(0)
+        at = to
+    return pa.table({**{k: t[k].slice(0, 1) for k in keys}, "pos": [pos.tolist()], "neg": [neg.tolist()], "u": [u.tolist()]})
+
+
 def bootstrap_auroc(df: DataFrame, group: list[str], cluster: str, replicates: int, score: str = "p") -> DataFrame:
     """group, replicate, auroc with whole clusters drawn; auroc is null without both classes.
 
     Rows are first counted by cluster and value, and a cluster's weights are drawn once, as one array of all replicates.
-    Scores are cut into BOOT_RANGES ranges of their group; every range is folded once a replicate where it lies, so only
-    sums of ranges, and never rows times replicates, are shuffled.
+    Scores are cut into BOOT_RANGES ranges of their group; every range is folded for all replicates at once where it lies, so
+    only sums of ranges are shuffled by replicate.
     """
     known = df.filter(f"y is not null and {score} is not null and not isnan({score})").groupBy(*group, F.col(cluster).alias("_c"), F.col(score).alias("p"), "y").agg(F.count("*").alias("n"))
     span = known.groupBy(*group).agg(F.min("p").alias("_lo"), F.max("p").alias("_hi"))
@@ -130,21 +160,11 @@ def bootstrap_auroc(df: DataFrame, group: list[str], cluster: str, replicates: i
     v = v.withColumn("_range", F.least(F.floor(width * BOOT_RANGES), F.lit(BOOT_RANGES - 1)).cast("int"))
     unit = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: poisson_unit(r, F.col("_c")))
     weights = known.select("_c").distinct().select("_c", F.transform(unit, lambda u: poisson_step(u).cast("tinyint")).alias("w"))
-    lists = v.join(weights, "_c").groupBy(*group, "_range").agg(F.array_sort(F.collect_list(F.struct("p", "y", "n", "w"))).alias("rows"))
-
-    def step(r: Column):
-        def add(a: Column, e: Column) -> Column:  # by value, negatives first: before holds those of smaller values
-            w = F.get(e["w"], r) * e["n"]
-            before = F.when(e["p"] == a["p"], a["before"]).otherwise(a["neg"])
-            return F.when(e["y"] == 1, F.struct(e["p"].alias("p"), (a["pos"] + w).alias("pos"), a["neg"].alias("neg"), before.alias("before"), (a["u"] + w * (before + a["neg"]) / 2).alias("u"))).otherwise(
-                F.struct(e["p"].alias("p"), a["pos"].alias("pos"), (a["neg"] + w).alias("neg"), before.alias("before"), a["u"].alias("u"))
-            )
-
-        zero = F.lit(0).cast("bigint")
-        start = F.struct(F.lit(float("-inf")).alias("p"), zero.alias("pos"), zero.alias("neg"), zero.alias("before"), F.lit(0.0).alias("u"))
-        return F.aggregate("rows", start, add)
-
-    sums = lists.select(*group, "_range", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), step)).alias("replicate", "s"))
+    rows = v.join(weights, "_c").select(*group, "_range", F.col("p").cast("double").alias("p"), F.col("y").cast("int").alias("y"), "n", "w")
+    kept = [f for f in rows.schema.fields if f.name in (*group, "_range")]
+    schema = T.StructType([*kept, *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("pos", "neg", "u")]])
+    folded = rows.groupBy(*group, "_range").applyInArrow(lambda t: _fold_range(t, [f.name for f in kept], replicates), schema)
+    sums = folded.select(*group, "_range", F.posexplode(F.arrays_zip("pos", "neg", "u")).alias("replicate", "s"))
     w = Window.partitionBy(*group, "replicate").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     s = sums.select(*group, "replicate", "_range", "s.pos", "s.neg", "s.u").withColumn("before", F.coalesce(F.sum("neg").over(w), F.lit(0)))
     out = s.groupBy(*group, "replicate").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("u") + F.col("pos") * F.col("before")).alias("u"))

@@ -82,9 +82,17 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     return wide.withColumn("mean", F.when(~miss, F.col("mean"))).withColumn("fit", hash_bucket("fit", F.col("entity"), 5) > 0)
 
 
-@query()
+_BUCKET = "('0x' || substr(sha256('{0}:' || entity), 1, 8))::BIGINT % {1}"
+_FEATURES_SQL = f"""{SCORES_SQL}, wide AS (SELECT entity, max(p) AS top, avg(p) AS mean, count(*)::DOUBLE AS n, max(y) AS y FROM scores GROUP BY entity),
+f AS (SELECT entity, top, CASE WHEN {_BUCKET.format("missing", 9)} <> 0 THEN mean END AS mean, n, y, {_BUCKET.format("fit", 5)} > 0 AS fit FROM wide)"""
+_Z = ", ".join(f"round(coalesce(({c} - m_{c}) / (s_{c} + 1e-6), 0), 5) AS {c}" for c in ("top", "mean", "n"))
+_S = ", ".join(f"avg({c}) FILTER (WHERE fit) AS m_{c}, stddev_pop({c}) FILTER (WHERE fit) AS s_{c}" for c in ("top", "mean", "n"))
+
+
+@query(f"WITH {_FEATURES_SQL}, s AS (SELECT {_S} FROM f) SELECT entity, y, fit, {_Z}, 0 AS top_missing, (mean IS NULL)::INT AS mean_missing, 0 AS n_missing FROM f, s")
 def standardised_features(spark: SparkSession, d: str) -> DataFrame:
-    return model.standardise(features(spark, d), ["top", "mean", "n"], F.col("fit"))
+    z = model.standardise(features(spark, d), ["top", "mean", "n"], F.col("fit"))
+    return z.select("entity", "y", "fit", *[F.round(c, 5).alias(c) for c in ("top", "mean", "n")], "top_missing", "mean_missing", "n_missing")
 
 
 @query()
@@ -100,7 +108,7 @@ def logistic_fit(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cross_fitted(spark: SparkSession, d: str) -> DataFrame:
     f = model.standardise(features(spark, d), ["top", "n"], F.col("fit"))
-    return model.cross_fit(f, ["top", "n"], "y", "entity", F.col("fit"), 2).select("entity", "fit", F.round("oof", 4).alias("oof"))
+    return model.cross_fit(f, ["top", "n"], "y", "entity", F.col("fit"), 5).select("entity", "fit", F.round("oof", 4).alias("oof"))
 
 
 @query()

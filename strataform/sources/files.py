@@ -232,7 +232,7 @@ def scene_graphs(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     values = g.select("image_id", F.explode("attributes").alias("a")).select("image_id", F.col("a.bbox_name").alias("region"), F.explode(once).alias("v")).withColumn("p", F.split("v", r"\|", -1))
     good = values.filter(F.size("p") == 3).select("image_id", "region", F.get("p", F.lit(0)).alias("category"), F.get("p", F.lit(1)).alias("polarity"), F.get("p", F.lit(2)).alias("label"))
     labels = good.groupBy("image_id", "region", "category", "label").agg(F.count_if(F.col("polarity") == "yes").alias("n_yes"), F.count_if(F.col("polarity") != "yes").alias("n_no"))
-    strings = F.flatten(F.transform("attributes", lambda a: F.flatten(F.transform(a["attributes"], lambda phrase: F.array_distinct(phrase)))))
+    strings = F.flatten(F.transform("attributes", lambda a: F.flatten(F.transform(F.coalesce(a["attributes"], F.array().cast("array<array<string>>")), lambda phrase: F.array_distinct(phrase)))))
     count = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0))
     bad = F.filter(strings, lambda s: F.size(F.split(s, r"\|", -1)) != 3)
     figures = g.select("image_id", "viewpoint", "study_id", "patient_id", count("objects").alias("n_objects"), count("attributes").alias("n_attr_regions"), count("relationships").alias("n_relationships"), count(bad).alias("bad_attr_strings"))

@@ -32,7 +32,7 @@ def test_vocabulary_conflicts(spark):
 def test_core_observation_and_tags(spark):
     e = spark.createDataFrame([(1, 0, "small", False), (1, 1, "effusion", True), (1, 2, "other", True), (2, 0, "tiny", False), (2, 1, "opacity", False), (2, 2, "nodules", False)], "k bigint, place int, entity string, located boolean")
     core = extraction.core_observation(e, ["k"])
-    assert rows(core, "k", "entity") == [(1, "effusion"), (2, "nodules")]
+    assert rows(core, "k", "entity") == [(1, "effusion"), (2, "opacity")]  # as long as nodules, and before it
     terms = spark.createDataFrame([("effusion", "pleural_effusion"), ("cardiomegaly", "cardiomegaly")], "term string, node string")
     texts = spark.createDataFrame([(1, "small pericardial effusion"), (2, "Cardiomegaly"), (3, None)], "k bigint, text string")
     core = core.join(spark.createDataFrame([(1, "definitely present", "R1"), (2, None, None)], "k bigint, certainty string, anatomy string"), "k")

@@ -6,21 +6,21 @@ Scores are first counted by group and value, so that ties are exact and no task
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strataform.functions.hashing import hex_number
 from strataform.functions.numeric import width_bin
 from strataform.operators.ordered import running_before
+from strataform.runtime import checked_broadcast, cores, cut, numbered_rows, read_parts, shared_folder
 
 MIN_HITS = 10
-#: Ranges of the score in which a bootstrap folds its rows.
-BOOT_RANGES = 32
-#: Rows that are folded at once.
-FOLD_ROWS = 2048
+#: Rows that a bootstrap folds at once, and bytes of the weights that one of its tasks holds.
+FOLD_ROWS, WEIGHT_BYTES = 2048, 64 << 20
 #: Cumulative probabilities of a Poisson variable of mean 1, by which a hash becomes a bootstrap weight.
 POISSON_1 = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 
@@ -108,66 +108,117 @@ def absent_threshold(curve: DataFrame, group: list[str], npv: float | None = Non
     return ok.groupBy(*group).agg(F.max("p").alias("thr"))
 
 
-def poisson_unit(replicate: Column, cluster: Column) -> Column:
-    """A double in [0, 1) for a cluster in a replicate, the same on every engine."""
-    return hex_number(F.concat(F.lit("boot:"), replicate.cast("string"), F.lit(":"), cluster.cast("string")), 15) / F.lit(float(16**15))
+def _thresholds() -> np.ndarray:
+    """The least 60-bit numbers n whose n / 16^15 reaches each edge of POISSON_1, as doubles are compared."""
+    out = []
+    for edge in POISSON_1:
+        n = int(edge * 16**15)
+        n -= 1024  # a double near 2^60 stands for some 128 numbers
+        while n / 16.0**15 < edge:
+            n += 1
+        out.append(n)
+    return np.array(out, dtype=np.uint64)
+
 
+def poisson_weights(clusters: list[str], replicates: range) -> np.ndarray:
+    """Bootstrap weights of clusters (rows) in replicates (columns): the Poisson(1) number at a cluster's hash in a replicate.
 
-def poisson_step(u: Column) -> Column:
-    """Bootstrap weight of a cluster: the Poisson(1) number at that cumulative probability."""
-    out = F.lit(6)
-    for k in range(len(POISSON_1) - 1, -1, -1):
-        out = F.when(u < POISSON_1[k], k).otherwise(out)
+    The hash is that of unit_hash: the first 15 hex digits of the SHA-256 of boot:replicate:cluster.
+    """
+    names, edges = [c.encode() for c in clusters], _thresholds()
+    out = np.empty((len(names), len(replicates)), dtype=np.uint8)
+    for k, r in enumerate(replicates):
+        prefix = b"boot:%d:" % r
+        digests = b"".join([sha256(prefix + c).digest() for c in names])
+        u = np.frombuffer(digests, dtype=">u8")[::4].astype(np.uint64) >> np.uint64(4)
+        out[:, k] = np.searchsorted(edges, u, side="right")
     return out
 
 
-def _fold_range(t: pa.Table, keys: list[str], replicates: int) -> pa.Table:
-    """One row with the weighted positives, negatives and pairs won of every replicate, within one range of scores."""
-    t = t.sort_by("p")
-    p, y, n = (t[c].to_numpy() for c in ("p", "y", "n"))
-    flat = t["w"].combine_chunks()
-    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-    w = flat.flatten().to_numpy().reshape(len(p), replicates)
-    pos, neg, u = (np.zeros(replicates) for _ in range(3))
-    starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-    ends = np.r_[starts[1:], len(p)]
-    at = 0
-    while at < len(starts):  # whole values, some FOLD_ROWS rows at a time
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + FOLD_ROWS, "right")))
-        lo, hi = starts[at], ends[to - 1]
-        part = w[lo:hi] * n[lo:hi, None].astype(np.float64)
-        up = y[lo:hi, None] == 1
-        of_pos, of_neg = (np.add.reduceat(np.where(up == side, part, 0.0), starts[at:to] - lo, axis=0) for side in (True, False))
-        before = neg + np.cumsum(of_neg, axis=0) - of_neg
-        u += (of_pos * (before + of_neg / 2)).sum(0)
-        pos += of_pos.sum(0)
-        neg += of_neg.sum(0)
-        at = to
-    return pa.table({**{k: t[k].slice(0, 1) for k in keys}, "pos": [pos.tolist()], "neg": [neg.tolist()], "u": [u.tolist()]})
+class _Fold:
+    """Sums of weighted positives, negatives and pairs won of some replicates, over rows in the order of their scores.
+
+    Rows come in parts of any size; a value that goes on in the next part is held open, so no value need fit into a part.
+    """
+
+    def __init__(self, replicates: int) -> None:
+        self.pos, self.neg, self.u, self.open_pos, self.open_neg = (np.zeros(replicates) for _ in range(5))
+        self.at: float | None = None
+
+    def add(self, p: np.ndarray, up: np.ndarray, weights: np.ndarray) -> None:
+        starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        pos, neg = (np.add.reduceat(np.where(up[:, None] == side, weights, 0.0), starts, axis=0) for side in (True, False))
+        if self.at == p[0]:
+            pos[0] += self.open_pos
+            neg[0] += self.open_neg
+        else:
+            self.close()
+        before = self.neg + np.cumsum(neg, axis=0) - neg
+        self.u += (pos[:-1] * (before[:-1] + neg[:-1] / 2)).sum(0)
+        self.pos += pos[:-1].sum(0)
+        self.neg += neg[:-1].sum(0)
+        self.at, self.open_pos, self.open_neg = p[-1], pos[-1], neg[-1]
+
+    def close(self) -> None:
+        self.u += self.open_pos * (self.neg + self.open_neg / 2)
+        self.pos += self.open_pos
+        self.neg += self.open_neg
+        self.at, self.open_pos, self.open_neg = None, np.zeros_like(self.pos), np.zeros_like(self.neg)
+
+
+def _fold_block(rows: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[tuple[int, _Fold]]:
+    """(number of the group, its closed sums) from rows _g, _i (a cluster's row in weights), p, y, n in the order of _g and p."""
+    group, fold = None, None
+    for batch in rows:
+        for start in range(0, batch.num_rows, FOLD_ROWS):
+            g, i, p, y, n = (batch.column(c).slice(start, FOLD_ROWS).to_numpy(zero_copy_only=False) for c in ("_g", "_i", "p", "y", "n"))
+            edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if g[lo] != group:
+                    if fold is not None:
+                        fold.close()
+                        yield group, fold
+                    group, fold = g[lo], _Fold(weights.shape[1])
+                fold.add(p[lo:hi], y[lo:hi] == 1, weights[i[lo:hi]] * n[lo:hi, None].astype(np.float64))
+    if fold is not None:
+        fold.close()
+        yield group, fold
 
 
 def bootstrap_auroc(df: DataFrame, group: list[str], cluster: str, replicates: int, score: str = "p") -> DataFrame:
     """group, replicate, auroc with whole clusters drawn; auroc is null without both classes.
 
-    Rows are first counted by cluster and value, and a cluster's weights are drawn once, as one array of all replicates.
-    Scores are cut into BOOT_RANGES ranges of their group; every range is folded for all replicates at once where it lies, so
-    only sums of ranges are shuffled by replicate.
+    Rows are first counted by cluster and value and written once, in the order of group and score, to the shared folder, with
+    numbers in place of groups and clusters. A task takes a block of replicates: it draws the weights of all clusters for them
+    (a byte each, WEIGHT_BYTES at most) and streams the rows past, so weights are neither stored nor shuffled.
     """
-    known = df.filter(f"y is not null and {score} is not null and not isnan({score})").groupBy(*group, F.col(cluster).alias("_c"), F.col(score).alias("p"), "y").agg(F.count("*").alias("n"))
-    span = known.groupBy(*group).agg(F.min("p").alias("_lo"), F.max("p").alias("_hi"))
-    v = known.join(span, group) if group else known.crossJoin(F.broadcast(span))  # one row a group
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("p") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    v = v.withColumn("_range", F.least(F.floor(width * BOOT_RANGES), F.lit(BOOT_RANGES - 1)).cast("int"))
-    unit = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: poisson_unit(r, F.col("_c")))
-    weights = known.select("_c").distinct().select("_c", F.transform(unit, lambda u: poisson_step(u).cast("tinyint")).alias("w"))
-    rows = v.join(weights, "_c").select(*group, "_range", F.col("p").cast("double").alias("p"), F.col("y").cast("int").alias("y"), "n", "w")
-    kept = [f for f in rows.schema.fields if f.name in (*group, "_range")]
-    schema = T.StructType([*kept, *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("pos", "neg", "u")]])
-    folded = rows.groupBy(*group, "_range").applyInArrow(lambda t: _fold_range(t, [f.name for f in kept], replicates), schema)
-    sums = folded.select(*group, "_range", F.posexplode(F.arrays_zip("pos", "neg", "u")).alias("replicate", "s"))
-    w = Window.partitionBy(*group, "replicate").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    s = sums.select(*group, "replicate", "_range", "s.pos", "s.neg", "s.u").withColumn("before", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    out = s.groupBy(*group, "replicate").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("u") + F.col("pos") * F.col("before")).alias("u"))
+    spark = df.sparkSession
+    known = df.filter(f"y is not null and {score} is not null and not isnan({score})").groupBy(*group, F.col(cluster).alias("_c"), F.col(score).cast("double").alias("p"), F.col("y").cast("int").alias("y")).agg(F.count("*").alias("n"))
+    known = cut(known.filter("_c is not null"))
+    clusters, groups = numbered_rows(known.select("_c").distinct(), "_i"), numbered_rows(known.select(*group).distinct(), "_g")
+    folder = shared_folder(spark, "bootstrap")
+    clusters.select("_i", F.col("_c").cast("string").alias("c")).write.parquet(f"{folder}/clusters")
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"o.{c}")) for c in group]
+    marked = known.alias("k").join(checked_broadcast(groups).alias("o"), same).select("_g", "_c", "p", "y", "n") if group else known.withColumn("_g", F.lit(0).cast("bigint"))
+    marked = marked.join(checked_broadcast(clusters), "_c").select("_g", "_i", "p", "y", "n")
+    marked.repartitionByRange("_g", "p").sortWithinPartitions("_g", "p").write.parquet(f"{folder}/rows")
+    size = clusters.count()
+    width = max(1, min(-(-replicates // (2 * cores(spark))), WEIGHT_BYTES // max(1, size)))
+    blocks = -(-replicates // width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                own = range(block * width, min(replicates, (block + 1) * width))
+                weights = np.zeros((size, len(own)), dtype=np.uint8)
+                for part in read_parts(f"{folder}/clusters", ["_i", "c"]):
+                    weights[part.column(0).to_numpy()] = poisson_weights(part.column(1).to_pylist(), own)
+                for g, f in _fold_block(read_parts(f"{folder}/rows", ["_g", "_i", "p", "y", "n"]), weights):
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(own), pa.int64()), pa.array(list(own), pa.int32()), *(pa.array(x) for x in (f.pos, f.neg, f.u))], names=["_g", "replicate", "n_pos", "n_neg", "u"])
+
+    # One task a block: the range has as many partitions as rows.
+    sums = cut(spark.range(0, blocks, 1, blocks).mapInArrow(run, "_g bigint, replicate int, n_pos double, n_neg double, u double"))
+    out = sums.join(checked_broadcast(groups), "_g") if group else sums
     return out.select(*group, "replicate", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"))
 
 
@@ -178,10 +229,29 @@ def paired_differences(replicates: DataFrame, name: str, value: str) -> DataFram
     return per.select("replicate", F.explode(pairs).alias("d")).select("replicate", "d.*")
 
 
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once: the product's rounding error is taken along (Dekker's products, Knuth's sums)."""
+    halves = lambda x: (x * 134217729.0 - (x * 134217729.0 - x), x - (x * 134217729.0 - (x * 134217729.0 - x)))
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    p = a * b
+    lost = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    s = p + c
+    return s + (((p - (s - (s - p))) + (c - (s - p))) + lost)
+
+
+def _quantile(ordered: Column, q: float) -> Column:
+    """The quantile of a sorted array between its two nearest values, rounded as DuckDB's quantile_cont does; null if empty."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    d = at - F.floor(at)
+    value = lambda i: F.get(ordered, i.cast("int"))
+    return _fused(value(F.floor(at)), 1 - d, value(F.ceil(at)) * d)
+
+
 def interval(replicates: DataFrame, group: list[str], value: str, level: float = 0.95) -> DataFrame:
-    """group, mean, low, high (percentiles, linear) and whether the interval excludes zero."""
+    """group, mean, low, high (percentiles, linear) and whether the interval excludes zero; replicates of a group fit a task."""
     a = (1 - level) / 2
-    out = replicates.groupBy(*group).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(a)).alias("low"), F.percentile(value, F.lit(1 - a)).alias("high"))
+    per = replicates.groupBy(*group).agg(F.avg(value).alias("mean"), F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_v"))
+    out = per.select(*group, "mean", _quantile(F.col("_v"), round(a, 12)).alias("low"), _quantile(F.col("_v"), round(1 - a, 12)).alias("high"))
     return out.withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
 
 

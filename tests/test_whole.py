@@ -136,3 +136,50 @@ def test_descendants_sql_goes_deeper_than_120():
     below = {(r[1], r[2]): r[3] for r in c.execute(ORACLE_SQL["p2_descendants"]).fetchall()}
     up = {(a, b) for b in range(200) for a in range(b)} | {(151, b) for b in (150, 151)} | {(150, 150)}
     assert below.keys() == {(f"RID{a}", f"RID{b}") for a, b in up} and below["RID0", "RID199"] == 199 and below["RID150", "RID150"] == 2
+
+
+def test_bootstrap_in_small_parts(spark, monkeypatch):
+    """Values, groups and clusters that cross the borders of parts and blocks change nothing, nor do null groups and clusters."""
+    from strataform.operators import metrics
+
+    r = np.random.default_rng(8)
+    rows = [(["a", "b", None][i % 3], f"c{r.integers(9)}" if i % 10 else None, float(r.integers(4)) / 4, int(r.integers(2))) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, c string, p double, y int")
+    monkeypatch.setattr(metrics, "FOLD_ROWS", 5)
+    monkeypatch.setattr(metrics, "WEIGHT_BYTES", 20)
+    got = {(x.g, x.replicate): x.auroc for x in metrics.bootstrap_auroc(df, ["g"], "c", 7).collect()}
+    assert len(got) == 21
+    weights = {c: metrics.poisson_weights([c], range(7))[0] for c in {x[1] for x in rows if x[1]}}
+    for (g, k), auroc in got.items():
+        mine = [(weights[c][k], p, y) for h, c, p, y in rows if h == g and c]
+        won = sum(float(w) * v * ((p > q) + (p == q) / 2) for w, p, y in mine if y for v, q, z in mine if not z)
+        total = sum(float(w) * v for w, _, y in mine if y for v, _, z in mine if not z)
+        assert auroc == pytest.approx(won / total)
+    assert metrics.bootstrap_auroc(df.filter("false"), ["g"], "c", 7).count() == 0
+    assert metrics.bootstrap_auroc(df, [], "c", 3).count() == 3
+
+
+def test_weights_are_those_of_the_hash():
+    from strataform.operators import metrics
+
+    def weight(replicate, cluster):
+        u = int(hashlib.sha256(f"boot:{replicate}:{cluster}".encode()).hexdigest()[:15], 16) / 16.0**15
+        return next((k for k, edge in enumerate(metrics.POISSON_1) if u < edge), 6)
+
+    names = [str(i) for i in range(500)]
+    assert metrics.poisson_weights(names, range(1990, 2000)).tolist() == [[weight(r, c) for r in range(1990, 2000)] for c in names]
+    for edge, n in zip(metrics.POISSON_1, metrics._thresholds().tolist()):
+        assert n / 16.0**15 >= edge > (n - 1) / 16.0**15
+
+
+def test_interval_has_the_quantiles_of_the_sql(spark):
+    """Bit by bit, so that ties of the last decimal round alike."""
+    from strataform.operators import metrics
+
+    r = np.random.default_rng(9)
+    rows = [(g, float(v)) for g in range(40) for v in np.round(r.normal(size=200) * 20) / r.integers(3, 50) - np.round(r.normal(size=200) * 20) / r.integers(3, 50)]
+    got = {x.g: (x.low, x.high) for x in metrics.interval(spark.createDataFrame(rows, "g int, v double"), ["g"], "v").collect()}
+    con = duckdb.connect()
+    for g, (low, high) in got.items():
+        want = con.execute("select quantile_cont(v, 0.025), quantile_cont(v, 0.975) from (select unnest(?::double[]) v)", [[v for h, v in rows if h == g]]).fetchone()
+        assert (low, high) == want

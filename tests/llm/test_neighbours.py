@@ -133,3 +133,35 @@ def test_tree_orders_all_leaves():
     leaf = tree.assign(x)
     order = tree.best_bins(x[:50], tree.leaves)
     assert all(sorted(o) == list(range(tree.leaves)) for o in order.tolist()) and (order[:, 0] == leaf[:50]).mean() > 0.8
+
+
+def test_no_vector_is_shuffled_by_visit(spark, tmp_path):
+    """However many leaves are visited, a vector is written a few times only: once kept, once in its leaf."""
+    import subprocess
+
+    df, _ = table(spark, seed=2, n=3000, copies=3)
+    rows = nb.valid_vectors(df, "dicom_id", "vector", 16).count()
+    folder = nb.shared_folder(spark, "x").rpartition("/")[0].removeprefix("file:")
+    used = lambda: int(subprocess.run(["du", "-sb", folder], capture_output=True, text=True).stdout.split()[0])
+    before = used()
+    found = nb.most_similar(df, "dicom_id", "vector", 16, 5, recall=1.0, leaf=50)
+    assert found.count() == 5 * rows
+    assert used() - before < 12 * 4 * 16 * rows
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan
+
+
+def test_leaves_are_whole(spark, monkeypatch):
+    """Leaves cut into batches and over files come back with every member once."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(nb, "CELL_MEMBERS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        members = spark.range(500).select(F.concat(F.lit("m"), "id").alias("id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vector"), (F.col("id") % 3 == 0).alias("asked"), F.floor(F.sqrt("id")).cast("int").alias("leaf"))
+        leaves = nb.write_leaves(members)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [(leaf, name, x[0], asked) for leaf, parts in leaves.parts.items() for part in parts for name, x, asked in zip(leaves.batch(part)[0].to_pylist(), leaves.batch(part)[1].tolist(), leaves.batch(part)[3].tolist())]
+    assert sorted(got) == sorted((int(i**0.5), f"m{i}", float(i), i % 3 == 0) for i in range(500))
+    assert all(part[2] <= 7 for parts in leaves.parts.values() for part in parts)

@@ -8,6 +8,7 @@ needs; the symbols are kept beside them, one byte each, to see how far a match g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,6 +115,69 @@ def merged(query: np.ndarray, vector: np.ndarray, start: np.ndarray, end: np.nda
     return pair[head] // rows if rows else pair[head], pair[head] % rows if rows else pair[head], covered
 
 
+@dataclass
+class WordIndex:
+    """The suffixes of one coordinate sorted by their first symbols: words, each once, and the vectors that have them.
+
+    These are the ranks that so many steps of the backward search from the word's end lead to; they are looked up at once.
+    """
+
+    words: np.ndarray
+    first: np.ndarray
+    order: np.ndarray
+
+    @classmethod
+    def build(cls, words: np.ndarray) -> WordIndex:
+        order = np.argsort(words, kind="stable").astype(np.int32)
+        in_order = words[order]
+        first = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]]) if len(words) else np.zeros(0, dtype=np.int64)
+        return cls(in_order[first], np.r_[first, len(words)], order)
+
+    def hits(self, words: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, vector) of equal words, some most pairs at a time (more only if one query has them)."""
+        if not len(self.words):
+            return
+        by = np.argsort(words)  # in order, so that neighbouring searches touch the same memory
+        at = np.minimum(np.searchsorted(self.words, words[by]), len(self.words) - 1)
+        same = self.words[at] == words[by]
+        query, at = by[same], at[same]
+        lo, n = self.first[at], self.first[at + 1] - self.first[at]
+        total = np.cumsum(n)
+        start = 0
+        while start < len(query):
+            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, "right")))
+            m = n[start:end]
+            inside = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            yield np.repeat(query[start:end], m), self.order[np.repeat(lo[start:end], m) + inside]
+            start = end
+
+
+def words_of(symbols: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """The words of so many symbols from every coordinate on, each as one number."""
+    base = int(2 * np.ceil(1 / CELL) + 1)
+    if base**length >= 1 << 63:
+        raise ValueError("a word has too many symbols for its number")
+    word = np.zeros(len(symbols), dtype=np.int64)
+    for j in range(symbols.shape[1]):
+        word = word * base + symbols[:, j]
+        if j >= length:
+            word -= symbols[:, j - length] * np.int64(base**length)
+        if j >= length - 1:
+            yield word
+
+
+def common_symbols(a: np.ndarray, b: np.ndarray, least: int = MATCH) -> np.ndarray:
+    """Symbols that the maximal stretches of two unit vectors a row cover, under all rotations; at least so many in a row."""
+    covered = np.zeros(len(a), dtype=np.int64)
+    for k in range(ROTATIONS):
+        same = strings(a, k) == strings(b, k)
+        edge = np.diff(np.pad(same, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (row, start), end = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+        long = end - start >= least
+        covered += np.bincount(row[long], weights=(end - start)[long], minlength=len(a)).astype(np.int64)
+    return covered
+
+
 class VectorIndex:
     """Indexes of one shard of unit vectors under all rotations."""
 

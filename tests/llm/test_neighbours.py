@@ -165,3 +165,38 @@ def test_leaves_are_whole(spark, monkeypatch):
     got = [(leaf, name, x[0], asked) for leaf, parts in leaves.parts.items() for part in parts for name, x, asked in zip(leaves.batch(part)[0].to_pylist(), leaves.batch(part)[1].tolist(), leaves.batch(part)[3].tolist())]
     assert sorted(got) == sorted((int(i**0.5), f"m{i}", float(i), i % 3 == 0) for i in range(500))
     assert all(part[2] <= 7 for parts in leaves.parts.values() for part in parts)
+
+
+def test_words_and_common_symbols():
+    from strataform.llm.symbolindex import MATCH, VectorIndex, WordIndex, common_symbols, strings, words_of
+
+    r = np.random.default_rng(7)
+    a, b = r.integers(3, size=(60, 12)), r.integers(3, size=(40, 12))
+    for j, (x, y) in enumerate(zip(words_of(a, 4), words_of(b, 4))):
+        for most in (1, 7, 10_000):
+            got = [p for q, v in WordIndex.build(x).hits(y, most) for p in zip(q.tolist(), v.tolist())]
+            assert sorted(got) == sorted((i, k) for i in range(40) for k in range(60) if (b[i, j : j + 4] == a[k, j : j + 4]).all())
+    x = unit(r.normal(size=(300, 64)))
+    y = unit(x + 0.02 * r.normal(size=x.shape))
+    q, v, n = VectorIndex(x).near(y, 0.98)
+    assert len(q) >= 290 and common_symbols(y[q], x[v]).tolist() == n.tolist()
+
+
+def test_symbols_of_pairs_and_parts(spark, monkeypatch):
+    """Bands, shards and parts of the queries are searched whole, and the symbols are those of the whole index."""
+    from strataform.llm.symbolindex import VectorIndex
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(200, 64)).astype(np.float32)
+    y = (x + 0.03 * r.normal(size=x.shape)).astype(np.float32)
+    rows = [(f"{side}{i:03d}", v.tolist()) for side, t in (("a", x), ("b", y)) for i, v in enumerate(t)]
+    sides = spark.createDataFrame([(i, i[0]) for i, _ in rows], "id string, side string")
+    q, v, n = VectorIndex(unit(y)).near(unit(x), 0.98)
+    want = sorted(zip([f"a{i:03d}" for i in q], [f"b{i:03d}" for i in v], n.tolist()))
+    for shard, band, step in ((1 << 18, 8, 1 << 16), (70, 20, 30)):
+        monkeypatch.setattr(overlap, "SHARD", shard)
+        monkeypatch.setattr(overlap, "BAND", band)
+        monkeypatch.setattr(overlap, "STEP", step)
+        df = spark.createDataFrame(rows, "id string, vector array<float>")
+        got = sorted(tuple(t) for t in overlap.near_equal_across(df, sides, "id", "vector", 64, 0.98, shared=True).collect())
+        assert got == want and len(want) >= 195
